@@ -38,7 +38,7 @@ _MARKS = "!?|#*$%&<>{}[]=~^\\"
 WINDOW = 8
 
 #: metric -> least quartile distance that counts, as a share
-FLOORS = {"symbol_share": 0.02, "upper_share": 0.06, "mark_share": 0.02, "dup_line_share": 0.06, "repeat_share": 0.03, "word_length": 1.0}
+FLOORS = {"symbol_share": 0.02, "upper_share": 0.06, "mark_share": 0.02, "dup_line_share": 0.06, "repeat_share": 0.08, "word_length": 1.0}
 SPREAD = 4.0
 K = 200
 
