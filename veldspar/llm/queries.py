@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veldspar.functions.shared import table
-from veldspar.llm import rules, simhash
+from veldspar.llm import pii, rules, simhash
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +23,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op5_quality_rules)}
+    return {f.__name__: f for f in (op2_pii, op3_simhash_near_dedup, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
