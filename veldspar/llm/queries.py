@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veldspar.functions.shared import table
-from veldspar.llm import mixing, pii, rules, simhash
+from veldspar.llm import mixing, pieces, pii, rules, simhash
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +22,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rate(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.realised(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_simhash_near_dedup, op5_quality_rules, op8_temperature_mixing)}
+    return {f.__name__: f for f in (op2_pii, op3_simhash_near_dedup, op5_quality_rules, op6_sentencepiece, op8_temperature_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
