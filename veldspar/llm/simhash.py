@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.shared import checkpointed
+from veldspar.functions.shared import checkpointed, fresh
 from veldspar.operators.components import connected_components
 
 BITS = 64
@@ -216,3 +216,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
     found = link(fingerprints(docs, width, seed), radius)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """``docs`` without near duplicates: of each class the row with the smallest doc_id stays, with all its columns.
+
+    Rows that share a doc_id count as one document, of which one row stays. A row without a doc_id cannot
+    be named as a copy and stays. The texts are shuffled once, by doc_id; there is no hot key.
+    """
+    (name,) = fresh(docs, "kept")
+    found = checkpointed(link(fingerprints(docs, width, seed), radius))
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(ids, F.col("doc_id") == F.col(name), "left_semi")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
