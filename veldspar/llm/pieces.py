@@ -13,8 +13,8 @@ is depth-first over the trie that the sorted list spells out. The forward scores
 stay on the stack; only the characters after it are scored. Segmentations are kept in a bounded cache
 between batches.
 
-Scale. One narrow pass, no shuffle; a task holds one batch, its distinct words and the cache of at most
-``CACHE`` words. The vocabulary is read by each Python worker from the same path, so it is never
+Scale. One narrow pass, no shuffle; a task holds one batch, the words of about ``PART`` characters of it
+and the cache of at most ``CACHE`` words. The vocabulary is read by each Python worker from the same path, so it is never
 broadcast nor stored in the repository.
 
 Defined results: null text encodes as null (no ids), empty text as an empty list; repeated rows give
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 #: Place of the public model; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 400_000
+CACHE = 200_000
+PART = 1 << 20
 _WORD = re.compile("\n| [^ \n]*|[^ \n]+")
 
 
@@ -89,6 +90,18 @@ class Vocabulary:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of each text; about ``PART`` characters at a time are held as words."""
+        out: list[bytes | None] = []
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text or "")
+            if size >= PART:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes | None]:
         split = [_WORD.findall(" " + t) if t else [] for t in texts]
         known = self.words
         new = {w for w in chain.from_iterable(split) if w not in known}
