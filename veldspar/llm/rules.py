@@ -95,7 +95,8 @@ def _measured(text: str | Column) -> Column:
         rows = np.array([count_text(t) for t in texts.to_pylist()], np.int64).reshape(-1, len(_NAMES))
         return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(_NAMES))], fields=list(fields))
 
-    return measure(F.col(text).cast("string") if isinstance(text, str) else text)
+    # Held to be nondeterministic, else the optimizer copies the call into every filter above it.
+    return measure.asNondeterministic()(F.col(text).cast("string") if isinstance(text, str) else text)
 
 
 def base_failed(m: Column) -> Column:
