@@ -43,3 +43,14 @@ def scratch(spark: SparkSession, stem: str) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veldspar-"))
     return f"{context.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
+
+
+#: Rows up to which a narrow dimension counts as small enough to broadcast (some 10 MB at 100 bytes a row).
+SMALL_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` (checkpointed or written, with narrow rows) hinted for broadcast if a count proves it small; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
