@@ -10,8 +10,8 @@
 3. ``judge`` joins the thresholds to the documents and drops what lies beyond a fence.
 
 Scale. The sketches aggregate map-side, so a source with a third of all rows sends one sketch per task.
-The thresholds are a small checkpointed table; the join is by (lang, source) and adaptive execution
-may split the hot source or broadcast the table when its measured size is under the session's bound.
+The thresholds are a checkpointed table of one row a group; it is broadcast if a count proves it small,
+else joined by (lang, source), where adaptive execution may split the hot source.
 
 Defined results: null text is an empty text (no words: base_failed); null lang or source is a group of
 its own; repeated rows are judged one by one; an empty table gives an empty result; further columns of
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.shared import checkpointed, fresh
+from veldspar.functions.shared import broadcast_if_small, checkpointed, fresh
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
 _NAMES = [part.split()[0] for part in MEASURES.split(", ")]
@@ -141,7 +141,7 @@ def thresholds(measured: DataFrame, m: str, lang: str = "lang", source: str = "s
 def judge(df: DataFrame, m: str, kept: str, lang: str = "lang", source: str = "source", spread: float = SPREAD, least: int = 50) -> DataFrame:
     """``df`` and the boolean column ``kept``; ``m`` names its column of measures."""
     key_lang, key_source, fence = fresh(df, "lang", "source", "fences")
-    found = checkpointed(thresholds(df, m, lang, source, spread, least)).toDF(key_lang, key_source, fence)
+    found = broadcast_if_small(checkpointed(thresholds(df, m, lang, source, spread, least))).toDF(key_lang, key_source, fence)
     joined = df.join(found, F.col(lang).eqNullSafe(F.col(key_lang)) & F.col(source).eqNullSafe(F.col(key_source)), "left")
     within = F.lit(True)
     for i, value in enumerate(metrics(F.col(m)).values()):
@@ -164,7 +164,7 @@ def filter_documents(docs: DataFrame, spread: float = SPREAD, least: int = 50) -
     """
     m, kept, fence_lang, fence_source, fences = fresh(docs, "m", "kept", "lang", "source", "fences")
     slim = docs.select(F.col("lang").cast("string"), F.col("source").cast("string"), _measured("text").alias("m"))
-    found = checkpointed(thresholds(slim, "m", spread=spread, least=least)).toDF(fence_lang, fence_source, fences)
+    found = broadcast_if_small(checkpointed(thresholds(slim, "m", spread=spread, least=least))).toDF(fence_lang, fence_source, fences)
     rows = docs.withColumn(m, _measured("text"))
     joined = rows.join(found, F.col("lang").cast("string").eqNullSafe(F.col(fence_lang)) & F.col("source").cast("string").eqNullSafe(F.col(fence_source)), "left")
     within = ~base_failed(F.col(m))
