@@ -72,7 +72,9 @@ def test_odd_rows_and_empty_table(spark):
 def test_anchors_depend_on_the_string_alone():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 100, 5000).astype(np.uint8)
-    anchor, _, first, count = ss.records(text, np.array([2000, 2030, 5000]))
+    ends = np.array([2000, 2030, 5000])
+    anchor, doc, first, count = ss.records(text, ends, *ss.runs(text, ends))
+    assert set(doc.tolist()) == {0, 2}
     starts = np.concatenate([np.arange(f, f + c) for f, c in zip(first, count)])
     want = [i for i in range(4951) if i + 50 <= 2000 or i >= 2030]
     assert starts.tolist() == want

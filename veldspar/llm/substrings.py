@@ -53,8 +53,10 @@ K = 16
 BLOCK = 4 << 20
 #: Bytes of corpus for each shard and for each bucket of blocks.
 SHARD, BUCKET = 24 << 20, 48 << 20
-#: Places within a piece of text that is hashed at once.
-_PLACE = 21
+#: Bits for the places within a piece of text that is hashed at once (a piece stays in the processor's cache).
+_PLACE = 17
+#: Bytes of stretches whose suffixes are sorted at once, unless one anchor alone has more.
+SORTED = 4 << 20
 _LAST = (1 << 63) - 1
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -83,30 +85,62 @@ def _smallest(keys: np.ndarray, width: int) -> np.ndarray:
     return keys
 
 
-def records(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, document's number, first start, number of starts) of each run of starts with one anchor.
+def runs(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """(number of starts, place of the anchor after the first) of each run of starts with one anchor, as bytes.
 
-    ``text``: bytes of the documents one after another, ``ends``: where each ends.
+    ``text``: bytes of the documents one after another, ``ends``: where each ends. Runs follow each other
+    without gaps over the starts of all documents, so these two say where every run begins.
     """
-    out = [[], [], [], []]
-    n, piece = len(text), (1 << _PLACE) - 256
+    counts, offsets = [], []
+    n, piece = len(text), (1 << _PLACE - 1)
     low = np.uint64((1 << _PLACE) - 1)
+    end_at = np.repeat(ends, np.diff(ends, prepend=0))
+    places = np.arange(piece + length, dtype=np.uint64)
     for a in range(0, max(0, n - length + 1), piece):
         part = text[a : min(n, a + piece + length - 1)]
         keys = _hashes(part, k)
-        keys = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+        keys &= ~low
+        keys |= places[: len(keys)]
         anchor = _smallest(keys, length - k + 1)
-        doc = np.searchsorted(ends, np.arange(a, a + len(anchor)), "right")
-        whole = np.arange(a, a + len(anchor)) + length <= ends[doc]
+        end = end_at[a : a + len(anchor)]
+        whole = np.arange(a + length, a + length + len(anchor)) <= end
         new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])
+        new[1:] = (anchor[1:] != anchor[:-1]) | (end[1:] != end[:-1]) | (whole[1:] != whole[:-1])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(anchor)))
         first, count = first[whole[first]], count[whole[first]]
-        for column, values in zip(out, (anchor[first] >> np.uint64(_PLACE), doc[first], first + a, count)):
-            column.append(values)
-    kinds = (np.uint64, np.int64, np.int64, np.int64)
-    return tuple(np.concatenate(c).astype(t) if c else np.zeros(0, t) for c, t in zip(out, kinds))
+        counts.append(count.astype(np.uint8))
+        offsets.append(((anchor[first] & low).astype(np.int64) - first).astype(np.uint8))
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.uint8) for c in (counts, offsets))
+
+
+def records(text: np.ndarray, ends: np.ndarray, counts: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, document's number, first start, number of starts) of each run."""
+    sizes = np.diff(ends, prepend=0)
+    starts = np.maximum(sizes - length + 1, 0)
+    before = np.cumsum(starts) - starts
+    count = counts.astype(np.int64)
+    at = np.cumsum(count) - count
+    doc = np.searchsorted(before + starts, at, "right")
+    first = at - before[doc] + (ends - sizes)[doc]
+    return _anchor_hashes(text, first + offsets, k), doc, first, count
+
+
+def _anchor_hashes(text: np.ndarray, places: np.ndarray, k: int = K) -> np.ndarray:
+    out = [_hash_rows(text[places[a : a + 50_000, None] + np.arange(k)], k)[:, 0] >> np.uint64(_PLACE) for a in range(0, len(places), 50_000)]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _hash_rows(window: np.ndarray, k: int) -> np.ndarray:
+    """``_hashes`` of every row."""
+    h, span, turn = window.astype(np.uint64) + np.uint64(1), 1, 0
+    while span < k:
+        step = min(span, k - span)
+        h = h[:, : h.shape[1] - step] * _MIX[turn % len(_MIX)] + h[:, step:]
+        h ^= h >> np.uint64(29)
+        span, turn = span + step, turn + 1
+    h *= _MIX[1]
+    return h ^ h >> np.uint64(32)
 
 
 # ---- blocks --------------------------------------------------------------------------------------
@@ -142,11 +176,14 @@ def blocks(docs: DataFrame, buckets: int, size: int = BLOCK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _block_ids(TaskContext.get().partitionId(), buckets)
         ids, texts, held = [], [], 0
+        pack = zstandard.ZstdCompressor(level=1)
 
         def row() -> pa.RecordBatch:
-            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-            columns = [pa.array([next(numbers)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "sizes", "blob"])
+            whole, sizes = b"".join(texts), [len(t) for t in texts]
+            counts, offsets = runs(np.frombuffer(whole, np.uint8), np.cumsum(np.array(sizes, np.int64)))
+            packed = [pack.compress(x) for x in (whole, counts.tobytes(), offsets.tobytes())]
+            columns = [pa.array([next(numbers)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in packed)]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "sizes", "blob", "counts", "offsets"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -161,19 +198,21 @@ def blocks(docs: DataFrame, buckets: int, size: int = BLOCK) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, blob binary")
+    return rows.mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, blob binary, counts binary, offsets binary")
 
 
 class Block:
     """One row of the table of blocks, with its records."""
 
     def __init__(self, row: dict) -> None:
+        unpack = zstandard.ZstdDecompressor().decompress
         self.block, self.raw_ids = row["block"], row["doc_ids"]
         self.ids = np.array([_LAST if d is None else d for d in row["doc_ids"]], np.int64)
-        self.raw = zstandard.ZstdDecompressor().decompress(row["blob"]) if row["blob"] else b""
+        self.raw = unpack(row["blob"])
         self.text = np.frombuffer(self.raw, np.uint8)
         self.ends = np.cumsum(np.array(row["sizes"], np.int64))
-        self.anchor, self.doc, self.first, self.count = records(self.text, self.ends)
+        counts, offsets = (np.frombuffer(unpack(row[c]), np.uint8) for c in ("counts", "offsets"))
+        self.anchor, self.doc, self.first, self.count = records(self.text, self.ends, counts, offsets)
         self.anchors, self.which = np.unique(self.anchor, return_inverse=True)
 
     def shard(self, shards: int) -> np.ndarray:
@@ -185,24 +224,25 @@ class Block:
         for shard, packed in bits.items():
             at = np.flatnonzero(of == shard)
             mark[at] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(at)).astype(bool)
-        return mark[self.which] if len(self.which) else np.zeros(0, bool)
+        return mark[self.which]
 
-    def stretches(self, shared: np.ndarray, shards: int) -> dict[int, tuple[dict[bytes, int], list[int]]]:
-        """shard -> distinct stretches in order of appearance with their number, and the smallest id of each."""
-        out: dict[int, tuple[dict[bytes, int], list[int]]] = {}
-        self.place = []
-        of = self.shard(shards)[self.which] if len(self.which) else self.which
+    def stretches(self, shared: np.ndarray, shards: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+        """For each shard: its distinct stretches, the smallest id of each, its records and the number of each one's stretch."""
+        of = self.shard(shards)[self.which]
         at = np.flatnonzero(shared)
-        ids = self.ids[self.doc[at]].tolist()
-        for i, shard, start, count, own in zip(at.tolist(), of[at].tolist(), self.first[at].tolist(), self.count[at].tolist(), ids):
-            known, least = out.setdefault(shard, ({}, []))
-            number = known.setdefault(self.raw[start : start + count + LENGTH - 1], len(known))
-            if number == len(least):
-                least.append(own)
-            elif own < least[number]:
-                least[number] = own
-            self.place.append((i, shard, number))
-        return out
+        at = at[np.argsort(of[at], kind="stable")]
+        cuts = np.flatnonzero(np.append(True, of[at][1:] != of[at][:-1])) if len(at) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(at)]):
+            mine, raw = at[lo:hi], self.raw
+            begin = self.first[mine]
+            texts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + self.count[mine] + LENGTH - 1).tolist())]
+            known = dict.fromkeys(texts)
+            for n, text in enumerate(known):
+                known[text] = n
+            number = np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
+            least = np.full(len(known), _LAST, np.int64)
+            np.minimum.at(least, number, self.ids[self.doc[mine]])
+            yield int(of[mine[0]]), list(known), least, mine, number
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:
@@ -279,11 +319,10 @@ def _send_stretches(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for block, row in _blocks(batches):
-            found = block.stretches(block.shared(_replies(row), shards), shards)
             rows = []
-            for shard, (known, least) in found.items():
-                sizes = np.fromiter(map(len, known), np.int64, len(known)).astype("<u2")
-                rows.append((shard, block.block, packer.compress(sizes.tobytes()), packer.compress(np.array(least, "<i8").tobytes()), packer.compress(b"".join(known))))
+            for shard, texts, least, _, _ in block.stretches(block.shared(_replies(row), shards), shards):
+                sizes = np.fromiter(map(len, texts), "<u2", len(texts))
+                rows.append((shard, block.block, packer.compress(sizes.tobytes()), packer.compress(least.astype("<i8").tobytes()), packer.compress(b"".join(texts))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "block", "sizes", "least", "blob"])
 
@@ -336,20 +375,35 @@ def smallest_holder(stretches: list[bytes], least: np.ndarray, memory: int = sx.
     anchor = _anchors_at(text, begins, length)
     _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
     chosen = np.flatnonzero(times[which] > 1)
-    if not len(chosen):
-        return offset, best
-    # the chosen stretches one after another, a separator behind each; symbols are bytes + 1
+    chosen = chosen[np.argsort(which[chosen], kind="stable")]
+    if len(chosen):
+        # whole anchors, some SORTED bytes at a time
+        filled = np.cumsum(sizes[chosen]) // SORTED
+        heads = np.flatnonzero(np.append(True, which[chosen][1:] != which[chosen][:-1]))
+        cuts = heads[np.flatnonzero(np.diff(filled[heads], prepend=-1))]
+        for lo, hi in zip(cuts, [*cuts[1:], len(chosen)]):
+            _sorted(text, begins, sizes, counts, offset, chosen[lo:hi], best, memory, length)
+    return offset, best
+
+
+def _sorted(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, counts: np.ndarray, offset: np.ndarray, chosen: np.ndarray, best: np.ndarray, memory: int, length: int) -> None:
+    """Runs of suffixes of the chosen stretches that share ``length`` bytes get their smallest id, in place."""
+    # one stretch after another, a separator 0 behind each; symbols are bytes + 1, which UTF-8 leaves room for
     spaced = sizes[chosen] + 1
     starts = np.cumsum(spaced) - spaced
-    joined = np.zeros(int(spaced.sum()), np.uint16)
-    inside = np.ones(len(joined), bool)
+    total = int(spaced.sum())
+    inside = np.ones(total, bool)
     inside[starts + sizes[chosen]] = False
-    source = np.repeat(begins[chosen] - starts, spaced) + np.arange(len(joined))
-    joined[inside] = text[source[inside]].astype(np.uint16) + 1
+    source = np.repeat(begins[chosen] - starts, spaced)
+    source += np.arange(total)
+    raw = text[source[inside]]
+    joined = np.zeros(total, np.uint8 if not len(raw) or raw.max() < 255 else np.uint16)
+    joined[inside] = raw.astype(joined.dtype) + 1
+    del source, raw, inside
     # where in ``best`` each place counts, -1 where fewer than ``length`` bytes follow
-    slot = np.repeat(offset[chosen] - starts, spaced) + np.arange(len(joined))
-    slot[np.arange(len(joined)) - np.repeat(starts, spaced) >= np.repeat(counts[chosen], spaced)] = -1
-    run, low, members = -1, _LAST, []
+    slot = np.repeat(offset[chosen] - starts, spaced) + np.arange(total)
+    slot[np.arange(total) - np.repeat(starts, spaced) >= np.repeat(counts[chosen], spaced)] = -1
+    low, members = _LAST, []
 
     def close() -> None:
         if len(members) > 1 or (members and len(members[0]) > 1):
@@ -357,77 +411,58 @@ def smallest_holder(stretches: list[bytes], least: np.ndarray, memory: int = sx.
 
     for positions, lcp in sx.suffixes(joined, length, memory):
         here = slot[positions]
-        breaks = np.flatnonzero(lcp < length)
-        edges = np.concatenate(([0], breaks, [len(here)]))
+        edges = np.concatenate(([0], np.flatnonzero(lcp < length), [len(here)]))
         if len(edges) > 2 and edges[1] == 0:
             edges = edges[1:]
             close()
-            run, low, members = -1, _LAST, []
-        # the first stretch of the batch continues the open run, the last one stays open
+            low, members = _LAST, []
+        # the first run of the batch continues the open one, the last one stays open
         head = here[edges[0] : edges[1]]
         head = head[head >= 0]
         if len(head):
             members.append(head)
             low = min(low, int(best[head].min()))
-        if len(edges) > 2:
-            close()
-            middle = here[edges[1] : edges[-2]]
-            groups = np.repeat(np.arange(len(edges) - 3), np.diff(edges[1:-1])) if len(edges) > 3 else np.zeros(0, np.int64)
-            ok = middle >= 0
-            middle, groups = middle[ok], groups[ok]
-            if len(middle):
-                first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-                lowest = np.minimum.reduceat(best[middle], first)
-                best[middle] = np.repeat(lowest, np.diff(np.append(first, len(middle))))
-            tail = here[edges[-2] :]
-            tail = tail[tail >= 0]
-            members = [tail] if len(tail) else []
-            low = int(best[tail].min()) if len(tail) else _LAST
+        if len(edges) == 2:
+            continue
+        close()
+        groups = np.repeat(np.arange(len(edges) - 3), np.diff(edges[1:-1]))
+        middle = here[edges[1] : edges[-2]]
+        ok = middle >= 0
+        middle, groups = middle[ok], groups[ok]
+        if len(middle):
+            first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+            best[middle] = np.repeat(np.minimum.reduceat(best[middle], first), np.diff(np.append(first, len(middle))))
+        tail = here[edges[-2] :]
+        tail = tail[tail >= 0]
+        members = [tail] if len(tail) else []
+        low = int(best[tail].min()) if len(tail) else _LAST
     close()
-    return offset, best
 
 
 def _anchors_at(text: np.ndarray, begins: np.ndarray, length: int, k: int = K) -> np.ndarray:
-    """The anchor of the string of ``length`` bytes at each place; the same one that ``records`` finds."""
-    out = []
-    for a in range(0, len(begins), 50_000):
-        window = text[begins[a : a + 50_000, None] + np.arange(length)]
-        h, span, turn = window.astype(np.uint64) + np.uint64(1), 1, 0
-        while span < k:
-            step = min(span, k - span)
-            h = h[:, : h.shape[1] - step] * _MIX[turn % len(_MIX)] + h[:, step:]
-            h ^= h >> np.uint64(29)
-            span, turn = span + step, turn + 1
-        h *= _MIX[1]
-        h ^= h >> np.uint64(32)
-        out.append(h.min(axis=1) >> np.uint64(_PLACE))
+    """The anchor of the string of ``length`` bytes at each place; the same one that its run has."""
+    out = [_hash_rows(text[begins[a : a + 50_000, None] + np.arange(length)], k).min(axis=1) >> np.uint64(_PLACE) for a in range(0, len(begins), 50_000)]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _cut(shards: int, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, row in _blocks(batches):
-            found = block.stretches(block.shared(_replies(row), shards), shards)
             verdict = {r["shard"]: r["bits"] for r in row["verdicts"] or []}
-            change = np.zeros(len(block.text) + 1, np.int64)
-            tables = {}
-            for shard, (known, least) in found.items():
-                counts = np.fromiter(map(len, known), np.int64, len(known)) - LENGTH + 1
+            removed_starts = [np.zeros(0, np.int64)]
+            for shard, texts, least, mine, number in block.stretches(block.shared(_replies(row), shards), shards):
+                counts = np.fromiter(map(len, texts), np.int64, len(texts)) - LENGTH + 1
                 bits = np.unpackbits(np.frombuffer(verdict[shard], np.uint8), count=int(counts.sum())).astype(bool)
-                tables[shard] = (bits, (np.cumsum(counts) - counts).tolist(), counts.tolist(), least)
-            ids = block.ids[block.doc].tolist()
-            first = block.first.tolist()
-            for i, shard, number in block.place:
-                bits, begins, counts, least = tables[shard]
-                start, count = first[i], counts[number]
-                if ids[i] > least[number]:
-                    change[start] += 1
-                    change[start + count + LENGTH - 1] -= 1
-                else:
-                    at = np.flatnonzero(bits[begins[number] : begins[number] + count])
-                    if len(at):
-                        np.add.at(change, start + at, 1)
-                        np.add.at(change, start + at + LENGTH, -1)
+                begins = np.cumsum(counts) - counts
+                # a copy of a stretch whose smallest holder is in this block goes as a whole
+                later = block.ids[block.doc[mine]] > least[number]
+                count, first = counts[number], block.first[mine]
+                every = np.repeat(np.cumsum(count) - count, count)
+                within = np.arange(int(count.sum())) - every
+                hit = bits[np.repeat(begins[number], count) + within] | np.repeat(later, count)
+                removed_starts.append((np.repeat(first, count) + within)[hit])
+            start = np.concatenate(removed_starts)
+            change = np.bincount(start, minlength=len(block.text) + 1) - np.bincount(start + LENGTH, minlength=len(block.text) + 1)
             removed = np.cumsum(change[:-1]) > 0
             rows = []
             begin = 0

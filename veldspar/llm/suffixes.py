@@ -105,7 +105,37 @@ def rising(text: np.ndarray) -> np.ndarray:
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of the suffixes at a and at b, up to ``cap``."""
+    """Common prefixes of the suffixes at a and at b, up to ``cap``; bytes are compared eight at a time."""
+    out = np.zeros(len(a), np.uint8)
+    last = len(text) - 1
+    live, depth = np.arange(len(a)), 0
+    if text.dtype == np.uint8:
+        eight = np.arange(8)
+        while len(live) and depth < cap:
+            x, y = a[live] + depth, b[live] + depth
+            inside = np.maximum(x, y) + 7 <= last
+            differ = np.zeros(len(live), np.uint64)
+            differ[inside] = (text[x[inside, None] + eight].view(">u8") ^ text[y[inside, None] + eight].view(">u8")).ravel().astype(np.uint64)
+            done = inside & (differ != 0)
+            out[live[done]] = depth + _equal_bytes(differ[done])
+            near = live[~inside]
+            out[near] = depth + _common(text, a[near] + depth, b[near] + depth, cap - depth)
+            live = live[inside & (differ == 0)]
+            depth += 8
+        out[live] = cap
+        return np.minimum(out, cap)
+    return _common(text, a, b, cap)
+
+
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """Zero bytes at the top of non-zero 64-bit numbers."""
+    out = np.zeros(len(differ), np.uint8)
+    for shift in range(8, 64, 8):
+        out += differ >> np.uint64(64 - shift) == 0
+    return out
+
+
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     out = np.zeros(len(a), np.uint8)
     live = np.arange(len(a))
     last = len(text) - 1
@@ -162,23 +192,33 @@ class _Minima:
             yield c, where, induced
 
 
-def _induce(text: np.ndarray, up: np.ndarray, seeds: np.ndarray, values: np.ndarray, cap: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _induce(text: np.ndarray, up: np.ndarray, seeds: np.ndarray, values: np.ndarray | None, cap: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes in falling order, in batches with the common prefix with the suffix before (in that order).
 
-    ``seeds``: the LMS positions in rising order, ``values`` their common prefixes with the seed before.
+    ``seeds``: the LMS positions in rising order, ``values`` their common prefixes with the seed before;
+    without them only the order is induced and all values are 0.
     """
     symbols = int(text.max()) + 1
     first = text[seeds]
     bounds = np.searchsorted(first, np.arange(symbols + 1))
     queue, falling, heads = Queue(memory), Queue(memory), {}
     minima = _Minima(symbols, cap)
+    track = values is not None
     last = -1  # the suffix handled before, for the few common prefixes that no induction gives
 
     def sweep(batch: np.ndarray, lcp: np.ndarray, minima: _Minima, queue: Queue, kind_up: bool) -> None:
         before = text[batch - 1]  # position 0 wraps; it is never wanted
         wanted = (batch > 0) & (up[batch - 1] == kind_up)
-        for c, where, induced in minima.split(before, lcp, wanted):
-            queue.push(c, batch[where] - 1, induced)
+        if track:
+            for c, where, induced in minima.split(before, lcp, wanted):
+                queue.push(c, batch[where] - 1, induced)
+            return
+        at = np.flatnonzero(wanted)
+        order = at[np.argsort(before[at], kind="stable")]
+        kinds = before[order]
+        edges = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])) if len(order) else []
+        for i, j in zip(edges, [*edges[1:], len(order)]):
+            queue.push(int(kinds[i]), batch[order[i:j]] - 1, np.zeros(j - i, np.uint8))
 
     for c in range(symbols):
         while (got := queue.pop(c)) is not None:
@@ -189,8 +229,9 @@ def _induce(text: np.ndarray, up: np.ndarray, seeds: np.ndarray, values: np.ndar
             last = int(batch[-1])
         lo, hi = bounds[c], bounds[c + 1]
         if lo < hi:
-            batch, lcp = seeds[lo:hi], values[lo:hi].copy()
-            lcp[0] = common(text, np.array([last]), batch[:1], cap)[0] if last >= 0 else 0
+            batch, lcp = seeds[lo:hi], values[lo:hi].copy() if track else None
+            if track:
+                lcp[0] = common(text, np.array([last]), batch[:1], cap)[0] if last >= 0 else 0
             sweep(batch, lcp, minima, queue, False)
             last = int(batch[-1])
     queue.close()
@@ -199,7 +240,7 @@ def _induce(text: np.ndarray, up: np.ndarray, seeds: np.ndarray, values: np.ndar
     last = -1
 
     def glue(batch: np.ndarray) -> int:
-        return int(common(text, np.array([last]), batch[:1], cap)[0]) if last >= 0 else 0
+        return int(common(text, np.array([last]), batch[:1], cap)[0]) if track and last >= 0 else 0
 
     for c in range(symbols - 1, -1, -1):
         fresh = True
@@ -280,7 +321,7 @@ def suffixes(text: np.ndarray, cap: int, memory: int = MEMORY, in_memory: int =
     starts[0] = False
     lms = np.flatnonzero(starts).astype(kind)
     loose = lms[np.argsort(text[lms], kind="stable")]
-    order = np.concatenate([b[starts[b]] for b, _ in _induce(text, up, loose, np.zeros(len(loose), np.uint8), 1, memory)])[::-1]
+    order = np.concatenate([b[starts[b]] for b, _ in _induce(text, up, loose, None, cap, memory)])[::-1]
     names, count = _name(text, lms, order)
     if count < len(lms):
         if len(lms) > in_memory:
