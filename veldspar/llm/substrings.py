@@ -52,11 +52,11 @@ LENGTH = 50
 K = 16
 BLOCK = 4 << 20
 #: Bytes of corpus for each shard and for each bucket of blocks.
-SHARD, BUCKET = 24 << 20, 48 << 20
+SHARD, BUCKET = 10 << 20, 48 << 20
 #: Bits for the places within a piece of text that is hashed at once (a piece stays in the processor's cache).
 _PLACE = 17
 #: Bytes of stretches whose suffixes are sorted at once, unless one anchor alone has more.
-SORTED = 4 << 20
+SORTED = 2 << 20
 _LAST = (1 << 63) - 1
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -281,7 +281,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each shard; they come sorted by shard."""
     now: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             if now and now[0]["shard"] != row["shard"]:
                 yield now
                 now = []
