@@ -159,7 +159,7 @@ def paired(function: Callable[[str, str], float]) -> Callable[[Column, Column],
                 out.append(seen[pair])
             return pa.array(out, pa.float64())
 
-        return run(a.cast("string"), b.cast("string"))
+        return run.asNondeterministic()(a.cast("string"), b.cast("string"))  # else filters on the result call it again
 
     return over
 
@@ -172,7 +172,7 @@ def mapped(function: Callable[[str], str]) -> Callable[[Column], Column]:
         def run(x: pa.Array) -> pa.Array:
             return pa.array([None if v is None else function(v) for v in x.to_pylist()], pa.string())
 
-        return run(a.cast("string"))
+        return run.asNondeterministic()(a.cast("string"))
 
     return over
 

@@ -92,7 +92,8 @@ def tokens(texts: Column, salt: str = "") -> Column:
         made = [None if x is None else [hashlib.blake2b((salt + t).encode(), digest_size=4).hexdigest() for t in x] for x in lists.to_pylist()]
         return pa.array(made, pa.list_(pa.string()))
 
-    return run(texts)
+    # held to be nondeterministic, else the optimizer moves the call into the lambda that reads its result
+    return run.asNondeterministic()(texts)
 
 
 def label_sql(category: str) -> str:

@@ -247,7 +247,7 @@ def identity_records(clustered: DataFrame, identities: DataFrame) -> DataFrame:
     """Identities with typed arrays of identifiers, telecom and addresses, birth date and source systems."""
     m = F.col("metadata")
     order = F.col("entity_id")
-    gather = lambda when, *cols: F.expr("x -> x") if False else F.array_sort(F.collect_list(F.when(when, F.struct(order.alias("at"), *cols))))
+    gather = lambda when, *cols: F.array_sort(F.collect_list(F.when(when, F.struct(order.alias("at"), *cols))))
     member = clustered.groupBy("cluster").agg(
         gather(F.col("entity_type") == "NATIONAL_ID", F.coalesce(m["system"], F.lit("")).alias("system"), F.col("text").alias("value"), F.coalesce(m["country"], F.lit("")).alias("country"), F.coalesce(m["id_type"], F.lit("NATIONAL_ID")).alias("type")).alias("identifiers"),
         gather(F.col("entity_type").isin("PHONE", "EMAIL"), F.lower("entity_type").alias("system"), F.col("text").alias("value")).alias("telecom"),
