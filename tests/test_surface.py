@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veldspar.functions import crypto, similarity
+from veldspar.functions.shared import checkpointed
 from veldspar.operators import audit, policy, requests
 from veldspar.plans.process import Options, outcomes, process
 from veldspar.sources import files, render
@@ -81,7 +82,7 @@ def test_signed_documents(spark):
     row = env.first()
     body = json.loads(row.envelope)
     assert list(body) == sorted(body) and "12345678901" not in row.envelope and body["redacted_text"] == "NIN [NIN]"
-    tokens = env.select(crypto.signed(F.col("envelope"), SEED, did).alias("token"))
+    tokens = checkpointed(env.select(crypto.signed(F.col("envelope"), SEED, did).alias("token")))
     now = datetime(2025, 1, 1)
     assert requests.accept(tokens, purposes=["kyc"], jurisdictions=["NG"], now=now).first().accepted
     assert requests.accept(tokens, purposes=["ads"], now=now).first().reason == "purpose" and requests.accept(tokens, jurisdictions=["KE"], now=now).first().reason == "jurisdiction"
