@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.functions import crypto
@@ -70,7 +71,26 @@ def envelope(processed: DataFrame, issuer: str, purpose: str, issued_at: str, ex
     acts = f"transform(policy_outcomes, d -> named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, d.{n}' for n in outs)}))"
     lit = lambda v: F.lit(v).cast("string")
     parts = {"detections": F.expr(cut), "doc_hash": F.col("document_hash"), "expires_at": lit(expires_at), "issued_at": lit(issued_at), "issuer": lit(issuer), "jurisdiction": F.col("jurisdiction"), "policy_outcomes": F.expr(acts), "purpose": lit(purpose), "redacted_text": F.col("redacted_text"), "statute": F.col("statute_id")}
-    return processed.withColumn("envelope", F.to_json(F.struct(*[c.alias(k) for k, c in sorted(parts.items())]), {"ignoreNullFields": "false"}))
+    return processed.withColumn("envelope", _canonical(F.struct(*[c.alias(k) for k, c in sorted(parts.items())])))
+
+
+def _canonical(document: Column) -> Column:
+    """Canonical JSON of a struct; maps become objects."""
+
+    def plain(value: object) -> object:
+        if isinstance(value, list):
+            if value and all(isinstance(v, tuple) for v in value):
+                return {k: plain(v) for k, v in value}
+            return [plain(v) for v in value]
+        if isinstance(value, dict):
+            return {k: ({} if k == "metadata" and v == [] else plain(v)) for k, v in value.items()}
+        return value
+
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([crypto.canonical(plain(r)) for r in rows.to_pylist()], pa.string())
+
+    return run.asNondeterministic()(document)
 
 
 def expired_sql(expires_at: str, now: str = "current_timestamp()") -> str:
