@@ -84,16 +84,16 @@ def enrich(df: DataFrame, statute: Statute, column: str = "detections", into: st
         'sensitivity_tier', {tier_sql(statute, 's.category')}, 'regulatory_citation', {reference_sql(statute, 's.category')}))"""))
 
 
-def tokens(texts: Column, salt: str = "") -> Column:
-    """Salted 4-byte BLAKE2b of each text of an array, as hex."""
+def tokens(detections: Column, salt: str = "") -> Column:
+    """Salted 4-byte BLAKE2b of each detection's text, as hex."""
 
     @F.arrow_udf("array<string>")
     def run(lists: pa.Array) -> pa.Array:
-        made = [None if x is None else [hashlib.blake2b((salt + t).encode(), digest_size=4).hexdigest() for t in x] for x in lists.to_pylist()]
+        made = [None if x is None else [hashlib.blake2b((salt + (d["text"] or "")).encode(), digest_size=4).hexdigest() for d in x] for x in lists.to_pylist()]
         return pa.array(made, pa.list_(pa.string()))
 
     # held to be nondeterministic, else the optimizer moves the call into the lambda that reads its result
-    return run.asNondeterministic()(texts)
+    return run.asNondeterministic()(detections)
 
 
 def label_sql(category: str) -> str:
@@ -121,7 +121,7 @@ def apply(df: DataFrame, statute: Statute, text: str = "text", column: str = "de
     t = spans.text_of(text)
     hashed, ranked, kept = fresh(df, "tokens", "outcomes", "kept")
     has = f"exists(`{column}`, s -> {action_sql(statute, 's.category')} = 'tokenize')"
-    df = df.withColumn(hashed, F.when(F.expr(has), tokens(F.expr(f"transform(`{column}`, s -> s.text)"), salt)))
+    df = df.withColumn(hashed, F.when(F.expr(has), tokens(F.col(f"`{column}`"), salt)))
     value = f"""case action when 'mask' then concat('[', {label_sql('s.category')}, ']') when 'drop' then ''
         when 'tokenize' then concat({label_sql('s.category')}, '_', `{hashed}`[i]) when 'generalize' then {generalize_sql('s.category', 's.text')} else s.text end"""
     df = df.withColumn(ranked, F.expr(f"""transform(`{column}`, (s, i) -> transform(array({action_sql(statute, 's.category')}), action -> named_struct(

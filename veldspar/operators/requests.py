@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.functions import crypto
@@ -61,36 +62,30 @@ def drafts(targets: DataFrame, requests: DataFrame, today: str, acknowledge_days
 
 
 def envelope(processed: DataFrame, issuer: str, purpose: str, issued_at: str, expires_at: str | None = None, with_text: bool = False) -> DataFrame:
-    """``envelope``: canonical JSON of a processed document, keys sorted, without its audit log.
+    """document_hash and ``envelope``: canonical JSON of a processed document, keys sorted, without its audit log.
 
     The texts of detections stay out unless asked for: they are what the redaction removed.
     """
-    names = [f for f in processed.schema["detections"].dataType.elementType.names if with_text or f != "text"]
-    cut = f"transform(detections, d -> named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, d.{n}' for n in sorted(names))}))"
-    outs = sorted(processed.schema["policy_outcomes"].dataType.elementType.names)
-    acts = f"transform(policy_outcomes, d -> named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, d.{n}' for n in outs)}))"
-    lit = lambda v: F.lit(v).cast("string")
-    parts = {"detections": F.expr(cut), "doc_hash": F.col("document_hash"), "expires_at": lit(expires_at), "issued_at": lit(issued_at), "issuer": lit(issuer), "jurisdiction": F.col("jurisdiction"), "policy_outcomes": F.expr(acts), "purpose": lit(purpose), "redacted_text": F.col("redacted_text"), "statute": F.col("statute_id")}
-    return processed.withColumn("envelope", _canonical(F.struct(*[c.alias(k) for k, c in sorted(parts.items())])))
-
-
-def _canonical(document: Column) -> Column:
-    """Canonical JSON of a struct; maps become objects."""
 
     def plain(value: object) -> object:
-        if isinstance(value, list):
-            if value and all(isinstance(v, tuple) for v in value):
-                return {k: plain(v) for k, v in value}
-            return [plain(v) for v in value]
+        if isinstance(value, list):  # Arrow gives maps as lists of pairs
+            return dict(value) if value and all(isinstance(v, tuple) for v in value) else [plain(v) for v in value]
         if isinstance(value, dict):
-            return {k: ({} if k == "metadata" and v == [] else plain(v)) for k, v in value.items()}
+            return {k: {} if k == "metadata" and not v else plain(v) for k, v in value.items() if with_text or k != "text"}
         return value
 
-    @F.arrow_udf("string")
-    def run(rows: pa.Array) -> pa.Array:
-        return pa.array([crypto.canonical(plain(r)) for r in rows.to_pylist()], pa.string())
-
-    return run.asNondeterministic()(document)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                body = {
+                    "doc_hash": row["document_hash"], "detections": plain(row["detections"] or []), "policy_outcomes": plain(row["policy_outcomes"] or []), "redacted_text": row["redacted_text"],
+                    "issuer": issuer, "issued_at": issued_at, "expires_at": expires_at, "purpose": purpose, "jurisdiction": row["jurisdiction"], "statute": row["statute_id"],
+                }
+                made.append(crypto.canonical(body))
+            yield pa.RecordBatch.from_arrays([batch.column("document_hash"), pa.array(made, pa.string())], names=["document_hash", "envelope"])
+
+    return processed.select("document_hash", "detections", "policy_outcomes", "redacted_text", "jurisdiction", "statute_id").mapInArrow(run, "document_hash string, envelope string")
 
 
 def expired_sql(expires_at: str, now: str = "current_timestamp()") -> str:
