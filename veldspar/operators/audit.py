@@ -27,10 +27,11 @@ def query(events: DataFrame, document_hash: str | None = None, category: str | N
     for column, value in (("document_hash", document_hash), ("category", category), ("event_type", event_type)):
         if value is not None:
             df = df.where(F.col(column) == value)
+    moment = lambda at: F.lit(at.isoformat(sep=" ")).cast(events.schema["timestamp"].dataType)  # noqa: E731  read in the session's time zone, as the column is
     if since is not None:
-        df = df.where(F.col("timestamp") >= F.lit(since))
+        df = df.where(F.col("timestamp") >= moment(since))
     if until is not None:
-        df = df.where(F.col("timestamp") <= F.lit(until))
+        df = df.where(F.col("timestamp") <= moment(until))
     df = df.orderBy("id")
     return df.limit(limit) if limit is not None else df
 

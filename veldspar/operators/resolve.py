@@ -129,11 +129,13 @@ def match_records(pairs: DataFrame, jurisdiction: str = "default", groups: list[
 
         df = df.withColumn("_address", similarity.paired(near)(F.col("address_a"), F.col("address_b")))
     exact = {"phone": checks.same_phone_sql, "national_id": checks.same_id_sql, "email": checks.same_email_sql, "dob": checks.same_date_sql, "isbn": checks.same_isbn_sql}
+    # each agreement is a column of its own: three expressions read it, and none of them gets long
+    df = df.withColumns({f"_{f}": F.expr(sql(f"{f}_a", f"{f}_b")) for f, sql in exact.items() if f in have})
     weights, factors, notes = [], [], []
     texts = {"phone": "phone match", "national_id": "national ID match", "email": "email match", "dob": "DOB match", "isbn": "ISBN match"}
     for f in have:
         there = f"coalesce({f}_a, '') <> '' and coalesce({f}_b, '') <> ''"
-        value = f"_{f}" if f in ("name", "address") else exact[f](f"{f}_a", f"{f}_b")
+        value = f"_{f}"
         m, u = data.FIELDS[f]
         chance = "_name_u" if f == "name" else f"{address_u}D" if f == "address" else f"{u}D"
         weights.append(f"if({there}, {checks.log_odds_sql(value, f'{m}D', chance)}, 0D)")
@@ -146,7 +148,7 @@ def match_records(pairs: DataFrame, jurisdiction: str = "default", groups: list[
     df = df.withColumn("_weight", F.expr(total)).withColumn("score", F.expr(checks.posterior_sql("_weight"))).withColumn("decision", F.expr(checks.decision_sql("score")))
     df = df.withColumn("factors", F.expr(f"map_concat({', '.join(f'cast({x} as map<string,double>)' for x in factors)})" if factors else "cast(map() as map<string,double>)"))
     df = df.withColumn("explanation", F.expr(f"coalesce(nullif(concat_ws('; ', {', '.join(notes)}), ''), 'no strong signals')" if notes else "'no strong signals'"))
-    return df.withColumn("score", F.round("score", 4)).drop("_weight", "_name", "_name_u", "_address")
+    return df.withColumn("score", F.round("score", 4)).drop("_weight", "_name_u", *(f"_{f}" for f in FIELDS))
 
 
 def shared_links(entities: DataFrame, through_value: bool = True) -> DataFrame:
