@@ -54,6 +54,8 @@ def test_identifiers(spark):
     assert [r[1] for r in got[3]] == ["A012345678Z", "12345678", "1234567"] and got[3][1][0] == "PII-2-NHIF"
     assert all(r[0] != "PII-2-NATIONAL_ID" for r in got[4])
     assert got[5][0][3]["governorate_code"] == "12"
+    assert [r[0] for r in run(spark, ["ABCDEFGHIJKLM ok"], packages=["africa"])[0]] == ["PII-2-SSNIT"]
+    assert run(spark, ["ET-AB-1234"], packages=["africa"])[0][0][0] == "PII-2-KEBELE_ID"
     alone = run(spark, ["NIN 12345678901", "RC 123456 Ltd, AAA-12345678901"], packages=["ng"])
     assert alone[0] == [("PII-2-NIN", "12345678901", 0.6, {})]
     assert [r[:3] for r in alone[1]] == [("PII-2-RC", "RC 123456", 0.95), ("PII-2-DRIVERS_LICENCE", "AAA-12345678901", 0.9)]

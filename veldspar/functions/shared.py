@@ -21,6 +21,17 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def settled(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the column as it is, behind a projection that the optimizer neither inlines nor pushes filters through.
+
+    ``explode`` of a column implies a filter on its size; pushed down, that filter would evaluate the
+    whole chain of expressions that makes the column once more.
+    """
+    from pyspark.sql import functions as F
+
+    return df.withColumn(column, F.when(F.monotonically_increasing_id() >= 0, F.col(f"`{column}`")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,3 +65,12 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its scan has fewer splits than there are cores (one small file, say); else as it is.
+
+    For work that is heavy for each row. Inputs with enough splits are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

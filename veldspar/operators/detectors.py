@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from veldspar.data import identifiers, money, names, phones, places
 from veldspar.functions import spans
-from veldspar.functions.shared import fresh
+from veldspar.functions.shared import fresh, settled
 
-_DIGITS = "{t} rlike '[0-9]{{5}}'"
+#: What a text must have for any identifier format: four digits in a row, or thirteen capitals and digits.
+_IDENTIFIER = "[0-9]{4}|[A-Z][A-Z0-9]{12}"
 
 
 # ---- national identifiers ------------------------------------------------------------------------
@@ -38,12 +39,13 @@ def identifier_sql(t: str, package: str = "africa") -> str:
             near = spans.any_of(identifiers.CONTEXT[f.country], spans.window(t, identifiers.WINDOW))
             score = f"least({confidence}D + if({near}, {identifiers.CONTEXT_BONUS}D, 0D), 1.0D)"
         score = f"round({score}, 4)"
-        found = spans.matches(t, f.pattern, _DIGITS.format(t=t))
+        found = spans.matches(t, f.pattern)
         if f.valid and f.valid != "true":
             found = f"filter({found}, s -> transform(array(s.m), m -> {f.valid})[0])"
         identity = "foundational" if f.id_type in identifiers.FOUNDATIONAL else "functional"
         parts.append(spans.detections(found, f"PII-2-{f.id_type}", f"rule:{f.country.lower()}_{f.id_type.lower()}", score, identity, f"'{f.country}'", f.facts))
-    return spans.by_confidence(spans.first_wins(f"concat({', '.join(parts)})"))
+    found = spans.by_confidence(spans.first_wins(f"concat({', '.join(parts)})"))
+    return f"case when {t} rlike '{_IDENTIFIER}' then {found} else cast(array() as array<{spans.DETECTION}>) end"
 
 
 # ---- phones --------------------------------------------------------------------------------------
@@ -312,4 +314,4 @@ def detect(df: DataFrame, text: str = "text", into: str = "detections", jurisdic
         elif name == "core":
             parts.append(phone_sql(t, jurisdiction or "NG", repeats))
     none = f"cast(array() as array<{spans.DETECTION}>)"
-    return df.withColumn(into, F.expr(f"concat({', '.join([none, *parts])})")).drop(*{six, found} & set(df.columns))
+    return settled(df.withColumn(into, F.expr(f"concat({', '.join([none, *parts])})")).drop(*{six, found} & set(df.columns)), into)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veldspar.data import money, places
 from veldspar.functions import spans
-from veldspar.functions.shared import fresh
+from veldspar.functions.shared import fresh, settled
 from veldspar.operators import detectors
 
 ENTITY = "struct<text:string,entity_type:string,confidence:double,start:int,end:int,source:string,metadata:map<string,string>>"
@@ -64,11 +64,10 @@ class _Scan:
         self.df = df.withColumn(self.column, F.expr(f"cast(array() as array<{kind}>)"))
 
     def add(self, found: str, check: bool = True) -> _Scan:
-        """Append spans; with ``check`` only those that overlap none before them."""
+        """Append spans; with ``check`` only those that overlap none before them. Spans of one list never overlap each other."""
         if check:
-            new = f"aggregate({found}, `{self.column}`, (a, s) -> case when exists(a, o -> {spans.overlap('o', 's')}) then a else concat(a, array(s)) end)"
-        else:
-            new = f"concat(`{self.column}`, {found})"
+            found = f"if(size(`{self.column}`) = 0, {found}, filter({found}, s -> not exists(`{self.column}`, o -> {spans.overlap('o', 's')})))"
+        new = f"concat(`{self.column}`, {found})"
         self.df = self.df.withColumn(self.column, F.expr(new))
         return self
 
@@ -79,7 +78,7 @@ class _Scan:
 
     def done(self) -> DataFrame:
         df = self.df.drop(self.into) if self.into in self.df.columns else self.df
-        return df.withColumnRenamed(self.column, self.into)
+        return settled(df.withColumnRenamed(self.column, self.into), self.into)
 
 
 def _entity(found: str, kind: str, confidence: str, source: str = "'regex'", text: str = "s.m", metadata: str = "map()") -> str:
@@ -281,7 +280,7 @@ def evidence(df: DataFrame, text: str = "text", into: str = "evidence", jurisdic
     if split_names:
         df = df.withColumn(into, F.expr(split_names_sql(steps[0])))
     df = df.withColumn(into, F.expr(stamp_sql(steps[0], spans.text_of(text), jurisdiction)))
-    return df.withColumn(into, F.expr(f"transform(array_sort(transform(`{into}`, (s, i) -> named_struct('s', s, 'i', i)), (a, b) -> case when a.s.start <> b.s.start then a.s.start - b.s.start else a.i - b.i end), k -> k.s)"))
+    return df.withColumn(into, F.expr(f"transform(array_sort(transform(`{into}`, (s, i) -> named_struct('s', s, 'i', i)), (a, b) -> case when a.s.start <> b.s.start then a.s.start - b.s.start else a.i - b.i end), k -> k.s)")).transform(settled, into)
 
 
 def sensitive(df: DataFrame, text: str = "text", into: str = "sensitive", jurisdiction: str = "auto") -> DataFrame:
@@ -295,7 +294,7 @@ def sensitive(df: DataFrame, text: str = "text", into: str = "sensitive", jurisd
     a = f"transform(filter(`{found}`, e -> e.label in ({labels})), e -> named_struct('text', e.text, 'label', e.label, 'confidence', e.confidence, 'start', e.start, 'end', e.end, 'country_hint', e.country_hint, 'validator_status', e.validator_status, 'detector_source', e.detector_source, 'redaction', {advice}))"
     b = f"filter(transform(`{pii}`, e -> named_struct('text', e.text, 'label', lower(e.pii_type), 'confidence', e.confidence, 'start', e.start, 'end', e.end, 'country_hint', coalesce(e.country, ''), 'validator_status', '', 'detector_source', 'pii', 'redaction', if(e.confidence >= 0.85, 'mask', 'review_required'))), e -> not e.label in ({plain}))"
     once = f"aggregate(concat({a}, {b}), cast(array() as array<{kind}>), (x, s) -> case when exists(x, o -> o.start = s.start and o.end = s.end) then x else concat(x, array(s)) end)"
-    return df.withColumn(into, F.expr(spans.by_start(once))).drop(found, pii)
+    return settled(df.withColumn(into, F.expr(spans.by_start(once))).drop(found, pii), into)
 
 
 def detect(df: DataFrame, text: str = "text", into: str = "entities", types: list[str] | None = None, include_pii: bool = True, cities: list[tuple] | None = None, longest: int = 500_000) -> DataFrame:
@@ -317,4 +316,4 @@ def detect(df: DataFrame, text: str = "text", into: str = "entities", types: lis
     if types:
         df = df.withColumn(into, F.expr(f"filter(`{into}`, e -> e.entity_type in ({', '.join(map(spans.quoted, types))}))"))
     too_long = f"if(char_length({spans.text_of(text)}) > {longest}, raise_error('a text exceeds {longest} characters'), `{into}`)"
-    return df.withColumn(into, F.expr(spans.by_start(too_long)))
+    return settled(df.withColumn(into, F.expr(spans.by_start(too_long))), into)

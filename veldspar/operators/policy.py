@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veldspar.data import statutes as data
 from veldspar.functions import spans
-from veldspar.functions.shared import fresh
+from veldspar.functions.shared import fresh, settled
 
 OUTCOME = "detection_id:string,category:string,action:string,statute_reference:string,statute_id:string,statute_version:string,rationale:string,applied_value:string,start:int,end:int,superseded_by:string"
 
@@ -140,7 +140,7 @@ def apply(df: DataFrame, statute: Statute, text: str = "text", column: str = "de
     result = f"""transform(`{ranked}`, s -> named_struct('detection_id', s.id, 'category', s.category, 'action', s.action, 'statute_reference', s.reference,
         'statute_id', {spans.quoted(statute.statute_id)}, 'statute_version', {spans.quoted(statute.version)}, 'rationale', s.rationale, 'applied_value', s.value,
         'start', s.start, 'end', s.end, 'superseded_by', {over}))"""
-    return df.withColumn(redacted, F.expr(done)).withColumn(outcomes, F.expr(result)).drop(hashed, ranked, kept)
+    return settled(df.withColumn(redacted, F.expr(done)).withColumn(outcomes, F.expr(result)).drop(hashed, ranked, kept), outcomes)
 
 
 # ---- plain redaction -----------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.functions import checks, similarity, spans
-from veldspar.functions.shared import table
+from veldspar.functions.shared import spread, table
 from veldspar.operators import addresses, audit, components, detectors, entities, governance, names_etl, places_lookup, policy, relate, requests, resolve, review
 from veldspar.plans.process import Options, outcomes, process
 from veldspar.sources import files
@@ -48,19 +48,23 @@ _EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 _CARD = r"\b(?:[0-9]{4}[\s\-]?){3}[0-9]{4}\b"
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 # ---- documents: contact data, policy, redaction --------------------------------------------------
 
 
 @query()
 def pii_policy_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Emails, cards and addresses of networks in documents under a statute: one row an outcome."""
-    done = process(table(spark, d, "documents"), Options(jurisdiction="NG", packages=CONTACT))
+    done = process(_documents(spark, d), Options(jurisdiction="NG", packages=CONTACT))
     return outcomes(done, "doc_id")
 
 
 @query()
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
-    done = process(table(spark, d, "documents"), Options(jurisdiction="NG", packages=(*CONTACT, "core", "ng", "digital_id")))
+    done = process(_documents(spark, d), Options(jurisdiction="NG", packages=(*CONTACT, "core", "ng", "digital_id")))
     return done.select("doc_id", "document_hash", F.sha2("redacted_text", 256).alias("redacted_sha256"), F.size("detections").alias("detections"))
 
 
@@ -71,7 +75,7 @@ _FOUND_IP = rf"""ips as (select doc_id, unnest(regexp_extract_all(text, '{_IP}')
 @query(f"with {_FOUND_IP} select doc_id, ip, cast(row_number() over (partition by doc_id order by nth) as bigint) as nth, regexp_replace(ip, '[0-9]+$', '0/24') as generalized from valid")
 def ipv4_generalize(spark: SparkSession, d: str) -> DataFrame:
     """Valid IPv4 addresses in order, and their /24."""
-    found = table(spark, d, "documents").select("doc_id", F.posexplode(F.expr(detectors.ipv4_sql("coalesce(text, '')", versions=True))).alias("i", "s"))
+    found = _documents(spark, d).select("doc_id", F.posexplode(F.expr(detectors.ipv4_sql("coalesce(text, '')", versions=True))).alias("i", "s"))
     value = policy.generalize_sql("s.category", "s.text")
     return found.select("doc_id", F.col("s.text").alias("ip"), (F.col("i") + 1).cast("long").alias("nth"), F.expr(value).alias("generalized"))
 
@@ -79,7 +83,7 @@ def ipv4_generalize(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) as email, '[EMAIL]' as masked from documents")
 def email_spans(spark: SparkSession, d: str) -> DataFrame:
     t = "coalesce(text, '')"
-    found = table(spark, d, "documents").select("doc_id", F.explode(F.expr(f"filter({detectors.contact_sql(t)}, s -> s.category = 'PII-3-EMAIL')")).alias("s"))
+    found = _documents(spark, d).select("doc_id", F.explode(F.expr(f"filter({detectors.contact_sql(t)}, s -> s.category = 'PII-3-EMAIL')")).alias("s"))
     return found.select("doc_id", F.col("s.text").alias("email"), F.expr(f"concat('[', {policy.label_sql('s.category')}, ']')").alias("masked"))
 
 
@@ -88,13 +92,13 @@ _LUHN = "list_sum(list_transform(range(1, length(n) + 1), lambda i: case when (l
 
 @query(rf"with c as (select doc_id, unnest(regexp_extract_all(text, '{_CARD}')) as card from documents), n as (select doc_id, card, regexp_replace(card, '[^0-9]', '', 'g') as n from c) select doc_id, card, {_LUHN} as valid from n")
 def card_luhn(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").select("doc_id", F.explode(F.expr(spans.matches("coalesce(text, '')", _CARD))).alias("s"))
+    found = _documents(spark, d).select("doc_id", F.explode(F.expr(spans.matches("coalesce(text, '')", _CARD))).alias("s"))
     return found.select("doc_id", F.col("s.m").alias("card"), F.expr(checks.luhn_sql("regexp_replace(s.m, '[^0-9]', '')")).alias("valid"))
 
 
 @query("select doc_id, sha256(text) as document_hash, cast(length(text) as int) as input_length from documents")
 def document_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("document_hash"), F.length("text").alias("input_length"))
+    return _documents(spark, d).select("doc_id", F.sha2("text", 256).alias("document_hash"), F.length("text").alias("input_length"))
 
 
 @query(f"select doc_id, sha256(regexp_replace(text, '{_EMAIL}', '<EMAIL>', 'g')) as redacted_sha256 from documents")
@@ -102,13 +106,13 @@ def redact_placeholder(spark: SparkSession, d: str) -> DataFrame:
     """Emails give way to a placeholder."""
     t = "coalesce(text, '')"
     pii = f"transform(filter({detectors.contact_sql(t)}, s -> s.category = 'PII-3-EMAIL'), s -> named_struct('text', s.text, 'pii_type', 'EMAIL', 'start', s.start, 'end', s.end))"
-    df = table(spark, d, "documents").withColumn("pii", F.expr(pii))
+    df = _documents(spark, d).withColumn("pii", F.expr(pii))
     return policy.redact(df, strategy="placeholder").select("doc_id", F.sha2("redacted_text", 256).alias("redacted_sha256"))
 
 
 @query(r"""select doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))) as normal_sha256 from documents""")
 def whitespace_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.expr(similarity.whitespace_sql("text")), 256).alias("normal_sha256"))
+    return _documents(spark, d).select("doc_id", F.sha2(F.expr(similarity.whitespace_sql("text")), 256).alias("normal_sha256"))
 
 
 _DIM = "(select * from (values " + ", ".join(f"('{c}', '{a}', '{t}')" for c, (a, t, *_) in policy.load("NDPA-2023").mappings.items()) + ") v(category, action, tier))"
@@ -121,7 +125,7 @@ def statute_enrich_counts(spark: SparkSession, d: str) -> DataFrame:
     """Findings by category with the statute's action and tier."""
     law = policy.load("NDPA-2023")
     t = "coalesce(text, '')"
-    df = table(spark, d, "documents").withColumn("detections", F.expr(f"concat({detectors.ipv4_sql(t, versions=True)}, {detectors.contact_sql(t)})"))
+    df = _documents(spark, d).withColumn("detections", F.expr(f"concat({detectors.ipv4_sql(t, versions=True)}, {detectors.contact_sql(t)})"))
     each = policy.enrich(df, law).select(F.explode("detections").alias("s")).select("s.category", F.expr(policy.action_sql(law, "s.category")).alias("action"), F.col("s.sensitivity_tier").alias("tier"))
     return each.groupBy("category", "action", "tier").agg(F.count("*").alias("n"))
 
@@ -133,25 +137,25 @@ def statute_dimension(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def entity_extraction(spark: SparkSession, d: str) -> DataFrame:
-    found = entities.extract(table(spark, d, "documents"))
+    found = entities.extract(_documents(spark, d))
     return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.text", "e.entity_type", "e.start", "e.end", "e.confidence", "e.source")
 
 
 @query()
 def personal_data(spark: SparkSession, d: str) -> DataFrame:
-    found = entities.personal_data(table(spark, d, "documents"))
+    found = entities.personal_data(_documents(spark, d))
     return found.select("doc_id", F.explode("pii").alias("e")).select("doc_id", "e.text", "e.pii_type", "e.start", "e.end", "e.confidence")
 
 
 @query()
 def identity_evidence(spark: SparkSession, d: str) -> DataFrame:
-    found = entities.evidence(table(spark, d, "documents"))
+    found = entities.evidence(_documents(spark, d))
     return found.select("doc_id", F.explode("evidence").alias("e")).select("doc_id", "e.text", "e.label", "e.start", "e.end", F.round("e.confidence", 4).alias("confidence"))
 
 
 @query()
 def sensitive_spans(spark: SparkSession, d: str) -> DataFrame:
-    found = entities.sensitive(table(spark, d, "documents"))
+    found = entities.sensitive(_documents(spark, d))
     return found.select("doc_id", F.explode("sensitive").alias("e")).select("doc_id", "e.text", "e.label", "e.start", "e.end", "e.redaction")
 
 
@@ -164,7 +168,7 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
 def compliance_counts(spark: SparkSession, d: str) -> DataFrame:
     """Masked findings of each document."""
     t = "coalesce(text, '')"
-    pii = table(spark, d, "documents").select("doc_id", F.explode(F.expr(f"filter({detectors.contact_sql(t)}, s -> s.category = 'PII-3-EMAIL')")).alias("s")).select("doc_id", F.lit("EMAIL").alias("pii_type"), "s.text")
+    pii = _documents(spark, d).select("doc_id", F.explode(F.expr(f"filter({detectors.contact_sql(t)}, s -> s.category = 'PII-3-EMAIL')")).alias("s")).select("doc_id", F.lit("EMAIL").alias("pii_type"), "s.text")
     nothing = pii.select("doc_id", F.lit("email").alias("label"), "text").where("false")
     return governance.assess(governance.findings(nothing, pii)).select("doc_id", "total", "medium")
 
