@@ -31,7 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.functions.shared import fresh
+from veldspar.functions.shared import fresh, settled
+from veldspar.functions.spans import matches
 from veldspar.llm import gbdt
 
 KINDS = ("email", "ip", "card", "phone")
@@ -100,15 +101,7 @@ EXAMPLES = 4000
 
 def _found(t: str, kind: str, test: str, pattern: str) -> str:
     """SQL of the array of matches with their places, in code points."""
-    q = f"r'{pattern}'"
-    return f"""case when {test.format(t=t)} then transform(
-        array(named_struct('m', regexp_extract_all({t}, {q}, 0), 'p', split({t}, {q}, -1))), x ->
-        aggregate(zip_with(x.m, slice(x.p, 1, size(x.m)), (m, p) -> named_struct('m', m, 'n', char_length(p))),
-          named_struct('at', 0, 's', cast(array() as array<{SPAN}>)),
-          (a, e) -> named_struct('at', a.at + e.n + char_length(e.m), 's', concat(a.s, array(
-            named_struct('kind', '{kind}', 'start', a.at + e.n, 'end', a.at + e.n + char_length(e.m), 'm', e.m)))),
-          a -> a.s))[0]
-        else cast(array() as array<{SPAN}>) end"""
+    return f"transform({matches(t, pattern, test.format(t=t))}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.end, 'm', s.m))"
 
 
 def _base(t: str) -> str:
@@ -264,7 +257,7 @@ def with_spans(docs: DataFrame, text: str, base: str, spans: str) -> DataFrame:
     added = _added(f"`{t}`", f"`{base}`", trees, cuts)
     # Texts without any digit pair, @ or spelled-out "at" have no candidates of any kind.
     added = f"case when `{t}` rlike r'(?i)[0-9][^a-zA-Z]{{0,3}}[0-9]|@|[(\\[{{ ]at[)\\]}} ]' then {added} else cast(array() as array<{SPAN}>) end"
-    return df.withColumn(spans, F.expr(f"array_sort(concat(`{base}`, {added}), {order})")).drop(t)
+    return settled(df.withColumn(spans, F.expr(f"array_sort(concat(`{base}`, {added}), {order})")).drop(t), spans)
 
 
 def _written(column: str) -> str:
