@@ -493,7 +493,7 @@ def deduplicate(docs: DataFrame, with_bytes: bool = True, block: int = BLOCK, sh
     stored = spark.table(name)
 
     def met(sent: DataFrame, at) -> DataFrame:
-        return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(at, "block long, shard long, bits binary")
+        return sent.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(at, "block long, shard long, bits binary")
 
     sent = stored.mapInArrow(_send_anchors(shards), "shard long, block long, anchors binary, several binary")
     replies = _kept(_by_block(met(sent, _meet_anchors), "replies"))
