@@ -317,3 +317,29 @@ def detect(df: DataFrame, text: str = "text", into: str = "entities", types: lis
         df = df.withColumn(into, F.expr(f"filter(`{into}`, e -> e.entity_type in ({', '.join(map(spans.quoted, types))}))"))
     too_long = f"if(char_length({spans.text_of(text)}) > {longest}, raise_error('a text exceeds {longest} characters'), `{into}`)"
     return settled(df.withColumn(into, F.expr(spans.by_start(too_long))), into)
+
+
+# ---- proposals of a language model ----------------------------------------------------------------
+
+_PROPOSED = {
+    "PERSON": ("person", "name", "full_name"), "ORGANIZATION": ("organization", "organisation", "org", "company"), "LOCATION": ("location", "address", "place", "city"), "PHONE": ("phone", "phone_number"),
+    "EMAIL": ("email",), "NATIONAL_ID": ("national_id", "nin", "bvn", "id"), "DATE": ("date", "date_of_birth"), "MONEY": ("money", "amount"), "URL": ("url",), "ISBN": ("isbn",),
+}
+
+
+def proposals_sql(t: str, answer: str) -> str:
+    """Entities in a model's JSON answer, bare or fenced: unknown types and texts that the document lacks are dropped.
+
+    Claimed offsets count only if the text is there; else its first place, with or without case. Confidence
+    is kept within 0 and 1, 0.7 if it is no number.
+    """
+    kind = "struct<entities:array<struct<text:string,entity_type:string,label:string,type:string,start:double,end:double,confidence:string>>>"
+    fenced = f"coalesce(nullif(regexp_extract({answer}, r'(?s)```(?:json)?\\s*(\\{{.*?\\}})\\s*```', 1), ''), {answer})".replace("\\\\", "\\")
+    cases = " ".join(f"when lower(r) in ({', '.join(repr(w) for w in (*words, name.lower()))}) then '{name}'" for name, words in _PROPOSED.items())
+    typed = f"transform(array(trim(coalesce(e.entity_type, e.label, e.type, ''))), r -> case {cases} end)[0]"
+    text = "trim(coalesce(e.text, ''))"
+    claimed = f"e.start >= 0 and e.end > e.start and e.end <= char_length({t}) and substring({t}, int(e.start) + 1, int(e.end - e.start)) = {text}"
+    start = f"case when {text} = '' then -1 when {claimed} then int(e.start) when locate({text}, {t}) > 0 then locate({text}, {t}) - 1 else locate(lower({text}), lower({t})) - 1 end"
+    made = f"""transform(coalesce(from_json({fenced}, '{kind}').entities, array()), e -> transform(array({start}), s -> named_struct('text', {text}, 'entity_type', {typed},
+        'confidence', if(try_cast(e.confidence as double) is null, 0.7D, greatest(0D, least(1D, try_cast(e.confidence as double)))), 'start', s, 'end', s + char_length({text}), 'source', 'llm', 'metadata', map('source_provider', 'llm')))[0])"""
+    return spans.by_start(f"filter({made}, e -> e.start >= 0 and e.entity_type is not null)")

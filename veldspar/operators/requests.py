@@ -101,3 +101,21 @@ def accept(tokens: DataFrame, column: str = "token", key: bytes | None = None, p
     one = lambda p, allowed: f"{get(p)} is null or not {get(p)} in ({', '.join(map(repr, allowed))})" if allowed else "false"
     reason = f"case when not _v.valid then _v.error when {expired_sql(get('expires_at'), at)} then 'expired' when {one('purpose', purposes)} then 'purpose' when {one('jurisdiction', jurisdictions)} then 'jurisdiction' end"
     return df.withColumn("reason", F.expr(reason)).withColumn("accepted", F.col("reason").isNull()).withColumn("payload", F.col("_v.payload")).drop("_v")
+
+
+def receipt(report: dict, seed: bytes, schema: str = "place_report.v1") -> dict:
+    """A signed summary of a report with a readable copy beside the signature; ``seed`` is the issuer's key."""
+    did = crypto.did_of(crypto.public_key(seed))
+    body = {"schema": schema} | report
+    return {"schema": schema, "issuer_did": did, "jws": crypto.jws(body, seed, did, "receipt+jws"), "payload_preview": body}
+
+
+def signed_bundle(events: DataFrame, seed: bytes, purpose: str = "audit_export", most: int = 100_000) -> str:
+    """A JWS over the events of an audit export; an export of more than ``most`` events is an error, sign its files instead."""
+    from veldspar.operators import audit
+
+    rows = [r.event for r in audit.export(events).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} events")
+    did = crypto.did_of(crypto.public_key(seed))
+    return crypto.jws({"events": rows, "count": len(rows), "purpose": purpose, "issuer": did}, seed, did, "audit-export")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import checks, similarity, spans
 from veldspar.functions.shared import spread, table
-from veldspar.operators import addresses, audit, components, detectors, entities, governance, names_etl, places_lookup, policy, relate, requests, resolve, review
+from veldspar.operators import addresses, audit, components, detectors, entities, governance, jurisdictions, names_etl, places_lookup, policy, relate, requests, resolve, review
 from veldspar.plans.process import Options, outcomes, process
 from veldspar.sources import files
 
@@ -539,3 +539,26 @@ def record_texts(spark: SparkSession, d: str) -> DataFrame:
 def directory_page(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_name as name", "if(s_nationkey % 2 = 0, 'dentist', 'gp') as kind", "'SE1' as anchor")
     return places_lookup.directory(rows, "dentist", 20, "10").select("id", "name", "total_estimate")
+
+
+# ---- country packs -------------------------------------------------------------------------------
+
+
+@query("select c_custkey, case c_custkey % 4 when 0 then 'MTN' when 1 then 'Glo' when 2 then '9mobile' end as network, case when c_custkey % 4 < 3 then '+234' || case c_custkey % 4 when 0 then '803' when 1 then '805' else '809' end || lpad(cast(c_custkey as varchar), 7, '0') end as e164 from customer")
+def network_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Mobile operator and strict E.164 of Nigerian numbers made from keys; every fourth has an unknown prefix."""
+    df = table(spark, d, "customer").selectExpr("c_custkey", "concat(case c_custkey % 4 when 0 then '0803 ' when 1 then '+234 805 ' when 2 then '0809-' else '0700 ' end, lpad(c_custkey, 7, '0')) as phone")
+    return jurisdictions.enrich_phones(df, "phone", "NG").select("c_custkey", "network", "e164")
+
+
+@query("select c_custkey, 'BVN' as id_type, '22' || lpad(cast(c_custkey as varchar), 9, '0') as value, 0.95 as confidence from customer")
+def pack_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "customer").selectExpr("c_custkey", "concat('bvn: 22', lpad(c_custkey, 9, '0')) as text")
+    return df.select("c_custkey", F.explode(F.expr(jurisdictions.pack_ids_sql("text", "NG"))).alias("s")).select("c_custkey", "s.id_type", "s.value", "s.confidence")
+
+
+@query("select c_custkey, 'Ann ' || c_custkey as \"text\", 'PERSON' as entity_type, 4 as \"start\", cast(8 + length(cast(c_custkey as varchar)) as int) as \"end\" from customer")
+def model_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a language model with wrong offsets, repaired."""
+    df = table(spark, d, "customer").selectExpr("c_custkey", "concat('Mrs Ann ', c_custkey, ' came') as t", """concat('{"entities": [{"text": "Ann ', c_custkey, '", "type": "person", "start": 90, "end": 99}, {"text": "Zed", "type": "person"}]}') as a""")
+    return df.select("c_custkey", F.explode(F.expr(entities.proposals_sql("t", "a"))).alias("e")).select("c_custkey", "e.text", "e.entity_type", "e.start", "e.end")

@@ -196,3 +196,19 @@ def publish(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     """One file of a small published table."""
     writer = rows.coalesce(1).write.mode("overwrite")
     {"csv": lambda: writer.option("header", True).csv(path), "jsonl": lambda: writer.json(path), "parquet": lambda: writer.parquet(path)}[kind]()
+
+
+def places(spark: SparkSession, path: str) -> DataFrame:
+    """Place records (id, name, address, kind, anchor, distance_m, lat, lon, note) of JSON files, several lines a record allowed."""
+    return spark.read.schema("id string, name string, address string, kind string, anchor string, distance_m int, lat double, lon double, note string").option("multiLine", True).json(path)
+
+
+def export(results: DataFrame, path: str, kind: str = "json") -> None:
+    """Nested results as JSON lines, or their entities as a six-column CSV."""
+    if kind == "json":
+        results.write.mode("overwrite").json(path)
+    elif kind == "csv":
+        rows = results.select(F.explode("entities").alias("e")).select("e.text", "e.entity_type", "e.confidence", "e.start", "e.end", "e.source")
+        rows.write.mode("overwrite").option("header", True).csv(path)
+    else:
+        raise ValueError(f"json or csv, not {kind!r}")
