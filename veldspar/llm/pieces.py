@@ -50,15 +50,17 @@ class Vocabulary:
                 self.ids.setdefault(piece.replace(MARK, " "), (n, score))
         self.byte_ids = byte_ids
         self.bytes = id_bytes
-        self.longest = max(map(len, self.ids), default=1)
+        # every ending of a piece; id -1 marks those that are no piece themselves
+        self.ends: dict[str, tuple[int, float]] = {p[i:]: (-1, 0.0) for p in self.ids for i in range(len(p))}
+        self.ends.update(self.ids)
         self.unknown = min((s for _, s in self.ids.values()), default=0.0) - 10.0
         self.words: dict[str, bytes] = {}
 
     def segment(self, words: list[str]) -> dict[str, bytes]:
         """The ids (little-endian 32-bit) of each distinct word."""
         out: dict[str, bytes] = {}
-        get, longest = self.ids.get, self.longest
-        score, back = [0.0], [(0, -1)]  # of the path's prefixes: best sum, (start of the last piece, its id)
+        get, unknown = self.ends.get, self.unknown
+        score, begin, piece = [0.0], [0], [-1]  # of the path's prefixes: best sum, start and id of the last piece
         last = ""
         for word in sorted(words):
             common = 0
@@ -66,24 +68,29 @@ class Vocabulary:
                 if a != b:
                     break
                 common += 1
-            del score[common + 1 :], back[common + 1 :]
+            del score[common + 1 :], begin[common + 1 :], piece[common + 1 :]
             for end in range(common + 1, len(word) + 1):
-                best, at = score[end - 1] + self.unknown * len(word[end - 1].encode()), (end - 1, -1)
-                for start in range(end - 1, max(-1, end - 1 - longest), -1):
+                char = word[end - 1]
+                best = score[end - 1] + (unknown if char < "\x80" else unknown * len(char.encode()))
+                at, chosen = end - 1, -1
+                for start in range(end - 1, -1, -1):
                     found = get(word[start:end])
-                    if found is not None and score[start] + found[1] >= best:
-                        best, at = score[start] + found[1], (start, found[0])
+                    if found is None:  # no piece ends like this, so none that begins earlier fits either
+                        break
+                    number, worth = found
+                    if number >= 0 and score[start] + worth >= best:
+                        best, at, chosen = score[start] + worth, start, number
                 score.append(best)
-                back.append(at)
+                begin.append(at)
+                piece.append(chosen)
             ids: list[int] = []
             end = len(word)
             while end:
-                start, piece = back[end]
-                if piece >= 0:
-                    ids.append(piece)
+                if piece[end] >= 0:
+                    ids.append(piece[end])
                 else:
-                    ids.extend(self.byte_ids[b] for b in reversed(word[start:end].encode()))
-                end = start
+                    ids.extend(self.byte_ids[b] for b in reversed(word[begin[end] : end].encode()))
+                end = begin[end]
             ids.reverse()
             out[word] = np.array(ids, "<i4").tobytes()
             last = word
