@@ -140,13 +140,19 @@ def thresholds(measured: DataFrame, m: str, lang: str = "lang", source: str = "s
 
 def judge(df: DataFrame, m: str, kept: str, lang: str = "lang", source: str = "source", spread: float = SPREAD, least: int = 50) -> DataFrame:
     """``df`` and the boolean column ``kept``; ``m`` names its column of measures."""
-    key_lang, key_source, fence = fresh(df, "lang", "source", "fences")
-    found = broadcast_if_small(checkpointed(thresholds(df, m, lang, source, spread, least))).toDF(key_lang, key_source, fence)
-    joined = df.join(found, F.col(lang).eqNullSafe(F.col(key_lang)) & F.col(source).eqNullSafe(F.col(key_source)), "left")
-    within = F.lit(True)
+    found = thresholds(df, m, lang, source, spread, least).toDF(*fresh(df, "lang", "source", "fences"))
+    return _judged(df, m, kept, found, F.col(lang), F.col(source))
+
+
+def _judged(df: DataFrame, m: str, kept: str, found: DataFrame, lang: Column, source: Column) -> DataFrame:
+    """``found``: lang, source and fences under names that ``df`` lacks."""
+    found = broadcast_if_small(checkpointed(found))
+    key_lang, key_source, fences = found.columns
+    joined = df.join(found, lang.eqNullSafe(F.col(key_lang)) & source.eqNullSafe(F.col(key_source)), "left")
+    within = ~base_failed(F.col(m))
     for i, value in enumerate(metrics(F.col(m)).values()):
-        within &= F.coalesce(value <= F.col(fence)[i], F.lit(True))
-    return joined.withColumn(kept, ~base_failed(F.col(m)) & within).drop(key_lang, key_source, fence)
+        within &= F.coalesce(value <= F.col(fences)[i], F.lit(True))
+    return joined.withColumn(kept, within).drop(key_lang, key_source, fences)
 
 
 def rate(docs: DataFrame, spread: float = SPREAD, least: int = 50) -> DataFrame:
@@ -162,12 +168,8 @@ def filter_documents(docs: DataFrame, spread: float = SPREAD, least: int = 50) -
 
     The texts are counted twice, once for the thresholds and once to judge, rather than shuffled.
     """
-    m, kept, fence_lang, fence_source, fences = fresh(docs, "m", "kept", "lang", "source", "fences")
+    m, kept, key_lang, key_source, fences = fresh(docs, "m", "kept", "lang", "source", "fences")
     slim = docs.select(F.col("lang").cast("string"), F.col("source").cast("string"), _measured("text").alias("m"))
-    found = broadcast_if_small(checkpointed(thresholds(slim, "m", spread=spread, least=least))).toDF(fence_lang, fence_source, fences)
+    found = thresholds(slim, "m", spread=spread, least=least).toDF(key_lang, key_source, fences)
     rows = docs.withColumn(m, _measured("text"))
-    joined = rows.join(found, F.col("lang").cast("string").eqNullSafe(F.col(fence_lang)) & F.col("source").cast("string").eqNullSafe(F.col(fence_source)), "left")
-    within = ~base_failed(F.col(m))
-    for i, value in enumerate(metrics(F.col(m)).values()):
-        within &= F.coalesce(value <= F.col(fences)[i], F.lit(True))
-    return joined.where(within).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(rows, m, kept, found, F.col("lang").cast("string"), F.col("source").cast("string")).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

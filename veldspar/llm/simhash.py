@@ -161,8 +161,8 @@ def _forest(grp: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> I
     begins = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
     sizes = np.diff(np.append(begins, len(grp)))
     few = (sizes > 1) & (sizes <= SMALL)
-    jobs = [np.repeat(few, sizes)] if few.any() else []
-    for mask in jobs:
+    if few.any():
+        mask = np.repeat(few, sizes)
         yield _edges(grp[mask], codes[mask], node[mask], int(sizes[few].max()), radius)
     for at, size in zip(begins[sizes > SMALL], sizes[sizes > SMALL]):
         yield _edges(grp[at : at + size], codes[at : at + size], node[at : at + size], int(size), radius)
