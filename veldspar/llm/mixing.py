@@ -96,25 +96,25 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     """
     plan, rows = quotas(docs, source, text, budget, max_repeats, entropy)
     plan = checkpointed(plan)
-    key, tok, spot, block, passes = fresh(docs, "key", "tokens", "spot", "block", "pass")
+    key, tok, spot, block, own = fresh(docs, "key", "tokens", "spot", "block", "id")
     blocks = max(1, math.ceil(rows / BLOCK))
-    slim = docs.select(F.col(source).cast("string").alias("source"), tokens(text).alias("t"), F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias("block"))
-    held = slim.groupBy("source", "block").agg(F.sum("t").alias("bt"))
-    # null-safe everywhere: a null source is a source
-    each = held.join(plan.select(F.col("source").alias("of"), "passes", "rest", "quota", F.col("t").alias("st"), "weight"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    each = each.withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("passes - int(rest = 0)"))))
-    order = Window.partitionBy("source", "pass").orderBy(F.xxhash64("block", "pass", F.lit(seed)), "block")
-    each = each.withColumn("before", F.sum("bt").over(order) - F.col("bt"))
-    each = each.where("pass < passes or before < rest")
-    each = checkpointed(each.select(F.col("source").alias("m_source"), F.col("block").alias("m_block"), F.col("pass").alias("mix_pass"), "before", "passes", "rest", "quota", "st", F.col("weight").alias("mix_weight")))
+    # A null source is a source: joins use a key that is never null, and the same key columns partition the
+    # join and the windows over its result, so rows are shuffled once.
+    keyed = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    slim = docs.select(keyed(source).alias("m_key"), tokens(text).alias("t"), F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias("m_block"))
+    held = slim.groupBy("m_key", "m_block").agg(F.sum("t").alias("bt"))
+    quota = plan.select(keyed("source").alias("m_key"), "passes", "rest", "quota", F.col("t").alias("st"), F.col("weight").alias("mix_weight"))
+    each = held.join(quota, "m_key").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.expr("passes - int(rest = 0)"))))
+    order = Window.partitionBy("m_key", "mix_pass").orderBy(F.xxhash64("m_block", "mix_pass", F.lit(seed)), "m_block")
+    each = each.withColumn("before", F.sum("bt").over(order) - F.col("bt")).where("mix_pass < passes or before < rest")
+    each = checkpointed(each.drop("bt"))
 
     kept = docs.columns if columns is None else list(columns)
     slots = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
-    full = docs.select(*slots, F.col(source).cast("string").alias(key), tokens(text).alias(tok), F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias(block), F.xxhash64(doc_id, text).alias(spot), F.col(doc_id).alias(passes))
-    joined = full.join(each, F.col(key).eqNullSafe(F.col("m_source")) & (F.col(block) == F.col("m_block")))
-    inner = Window.partitionBy("m_source", "m_block", "mix_pass").orderBy(F.xxhash64(F.col(spot), F.col("mix_pass"), F.lit(seed)), F.col(spot), F.col(passes)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = joined.withColumn("ends", F.col("before") + F.sum(tok).over(inner))
-    joined = joined.where("mix_pass < passes or ends <= rest")
+    full = docs.select(*slots, keyed(source).alias(key), tokens(text).alias(tok), F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias(block), F.xxhash64(doc_id, text).alias(spot), F.col(doc_id).alias(own))
+    joined = full.join(each, (F.col(key) == F.col("m_key")) & (F.col(block) == F.col("m_block")))
+    inner = Window.partitionBy(key, block, "mix_pass").orderBy(F.xxhash64(F.col(spot), F.col("mix_pass"), F.lit(seed)), F.col(spot), F.col(own)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = joined.withColumn("ends", F.col("before") + F.sum(tok).over(inner)).where("mix_pass < passes or ends <= rest")
     place = (F.col("mix_pass") * F.col("st") + F.col("ends") - F.col(tok)) / F.greatest("quota", F.lit(1))
     out = joined.select(*[F.col(f"c{i}").alias(f"k{i}") for i in range(len(kept))], F.col(tok).alias("mix_tokens"), "mix_weight", "mix_pass", place.alias("mix_place"))
     return out.toDF(*kept, "mix_tokens", "mix_weight", "mix_pass", "mix_place")
