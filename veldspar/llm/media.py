@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.shared import checkpointed, scratch
+from veldspar.functions.shared import checkpointed, fresh, scratch
 
 ROW = 192
 TAIL = 16
@@ -198,8 +198,9 @@ def described(store: DataFrame) -> DataFrame:
 
 def resolve(refs: DataFrame, features: DataFrame, digest: str = "digest") -> DataFrame:
     """Every row of ``refs`` with the features of its digest (null where the store has none)."""
-    known = checkpointed(features).withColumnRenamed("digest", "_v_digest")
-    return refs.join(known, F.col(digest) == F.col("_v_digest"), "left").drop("_v_digest")
+    (key,) = fresh(refs, "digest")
+    known = checkpointed(features).withColumnRenamed("digest", key)
+    return refs.join(known, F.col(digest) == F.col(key), "left").drop(key)
 
 
 # ---- documents as pages --------------------------------------------------------------------------
