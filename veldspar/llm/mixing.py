@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions.shared import checkpointed, fresh
 
-BLOCK = 2048
+BLOCK = 512
 #: Exponents tried in one round, and rounds: the exponent is exact to (1 / (TRIES + 1)) ** ROUNDS.
 TRIES, ROUNDS = 15, 5
 MAX_REPEATS, ENTROPY = 2.0, 0.98
