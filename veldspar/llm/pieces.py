@@ -39,6 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 200_000
 PART = 1 << 20
+#: Rows of a batch that are Python objects at a time.
+ROWS = 500
 _WORD = re.compile("\n| [^ \n]*|[^ \n]+")
 
 
@@ -152,14 +154,18 @@ def load(path: str = MODEL) -> Vocabulary:
 def ids(text: Column, model: str = MODEL) -> Column:
     """The array of piece ids of a text."""
 
-    @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        found = load(model).encode(texts.to_pylist())
-        lengths = np.array([len(f) // 4 if f is not None else 0 for f in found], np.int32)
+    def lists(texts: list[str | None]) -> pa.ListArray:
+        found = load(model).encode(texts)
+        lengths = [0 if f is None else len(f) // 4 for f in found]
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(f for f in found if f), "<i4"), pa.int32())
-        nulls = np.array([f is None for f in found], bool)
-        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(nulls) if len(found) else None)
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([f is None for f in found], pa.bool_()))
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        # a few hundred rows at a time are Python objects, the rest stays Arrow
+        parts = [lists(texts.slice(a, ROWS).to_pylist()) for a in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return run(text.cast("string"))
 
