@@ -65,6 +65,26 @@ def test_order_matters_from_both_sides(spark):
     assert abs(got[1].pll - net.score(around, ids).sum()) < 0.05 and got[1].n_tokens == len(same)
 
 
+def test_words_of_a_bucket_have_their_own_share(spark, monkeypatch):
+    """Rare and common words of one bucket differ by the ratio of their counts, looked up or joined."""
+    heads = [f"w{i}" for i in range(masked.WORDS)]
+    others, seen = [f"z{i}" for i in range(3000)], {}
+    for w in others:
+        seen.setdefault(masked.zlib.crc32(w.encode()) % masked.BUCKETS, []).append(w)
+    often, seldom, once = next(v for v in seen.values() if len(v) >= 3)[:3]
+    rows = [(1, " ".join(heads * 9)), (2, f"{often} " * 8 + f"{seldom} " * 2 + once), (3, None)]
+    docs = documents(spark, rows)
+    probe = documents(spark, [(n, w) for n, w in enumerate([often, seldom, once, "w5", ""])])
+    for room in (0, 1, 100):
+        monkeypatch.setattr(masked, "COMMON", room)
+        words = masked.vocabulary(docs)
+        got = {r.doc_id: r.pll for r in masked.score(probe, words, masked.Network()).collect()}
+        assert abs(got[0] - got[1] - np.log(4)) < 1e-5 and abs(got[1] - got[2] - np.log(2)) < 1e-5
+        bucket, around = words.ids([once.encode()]), np.zeros((1, 4), np.int32)
+        assert abs(got[2] - masked.Network().score(around, bucket)[0] + np.log(12)) < 1e-5
+        assert abs(got[3] - masked.Network().score(around, words.ids([b"w5"]))[0]) < 1e-5 and got[4] == 0
+
+
 def test_odd_rows(spark):
     df = documents(spark, ODD).withColumns({"word": F.lit(1), "n": F.lit(2), "slice": F.lit(3)})
     out = masked.pseudo_likelihood(df).collect()

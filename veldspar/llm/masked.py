@@ -1,7 +1,10 @@
 """Masked pseudo-likelihood: every token predicted from both sides by a small window network.
 
-* Vocabulary: the most frequent words of the whole corpus, counted in a distributed pass; all other
-  words share hash buckets. Ids fall into two digits, frequent words together.
+* Vocabulary: every word of the whole corpus, counted in a distributed pass. The network tells the most
+  frequent words and ``BUCKETS`` hash buckets of all others apart; ids fall into two digits, frequent words
+  together. A word of a bucket has its share of the bucket's count:
+  ln P(word | around) = ln P(bucket | around) + ln(n of the word / (n of the bucket + 1)); the 1 is the
+  part of words that the corpus lacks.
 * Network: embeddings of the ``SIDE`` words on each side, a tanh layer, and a softmax for each digit
   of the masked word (the second one also sees the first digit). Trained in numpy.
 * Training covers every token of the corpus once: each task trains a replica from the same start on
@@ -9,10 +12,11 @@
 * Score: the sum over a document's tokens of ln P(token | the words around it).
 
 Scale. Three narrow passes over the text (count, train, score). Shuffled: each task's distinct words
-with counts, and each task's parameters, cut into ``SLICES`` rows that are averaged by as many tasks one
-by one. So what is gathered grows with the corpus while the driver gets ``WORDS`` words and one set of
-parameters. A task holds a batch of documents, its word counts (flushed at ``COUNTED`` words) and one
-replica.
+with counts; each task's parameters, cut into ``SLICES`` rows that are averaged by as many tasks one
+by one; and the rare words of each document, which are joined to their counts. The counts grow with the
+corpus and stay distributed; the driver and each task hold ``WORDS`` words, the counts of at most
+``COMMON`` further ones, which spares their tokens the join and keeps hot keys out of it, and one set of
+parameters. A task also holds a batch of documents and its word counts (flushed at ``COUNTED`` words).
 
 Defined results: a null or empty text has no tokens and scores 0 (mean null); words are runs of bytes
 that are not ASCII white space, in lower-case ASCII; repeated rows give repeated output rows; a null
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,10 @@ SIDE, WIDTH, HIDDEN = 2, 8, 16
 BATCH, RATE = 1024, 0.1
 SLICES = 8
 COUNTED = 200_000
+#: Words after the first WORDS whose counts are looked up in the tasks; all others are joined.
+COMMON = 200_000
+#: Bands of counts for each doubling, from which the common words are taken whole.
+BANDS = 8
 #: Tokens that are held as arrays at a time.
 HELD = 1 << 18
 
@@ -50,11 +58,18 @@ def split(text: str | None) -> list[bytes]:
 
 
 class Vocabulary(dict):
-    """Word to id: the listed words by rank, any other by its hash (remembered while there is room)."""
+    """Word to id: the listed words by rank, any other by its hash (remembered while there is room).
 
-    def __init__(self, words: list[bytes]) -> None:
+    For the words of the buckets: the count of each bucket, the words with counts that the tasks look up,
+    and the table of the other words with counts of two and more.
+    """
+
+    def __init__(self, words: list[bytes], totals: np.ndarray | None = None, common: dict[bytes, int] | None = None, rare: DataFrame | None = None) -> None:
         super().__init__((w, n + 1) for n, w in enumerate(words))
         self.words = words
+        self.totals = np.zeros(BUCKETS) if totals is None else totals
+        self.common = common or {}
+        self.rare = rare
 
     def __missing__(self, word: bytes) -> int:
         found = 1 + WORDS + zlib.crc32(word) % BUCKETS
@@ -135,15 +150,15 @@ def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[where], np.stack([line[where + o] for o in near], axis=1) if len(where) else np.zeros((0, 2 * SIDE), np.int32)
 
 
-def _held(texts: Iterator[str | None], vocabulary: Vocabulary, most: int = HELD) -> Iterator[list[np.ndarray]]:
-    """Ids of documents, some ``most`` tokens at a time; a longer document comes alone."""
+def _held(texts: Iterator[list[bytes]], ids_of: Callable[[list[bytes]], np.ndarray], most: int = HELD) -> Iterator[list[tuple[list[bytes], np.ndarray]]]:
+    """Words and ids of documents, some ``most`` tokens at a time; a longer document comes alone."""
     now, size = [], 0
-    for text in texts:
-        ids = vocabulary.ids(split(text))
+    for words in texts:
+        ids = ids_of(words)
         if now and size + len(ids) > most:
             yield now
             now, size = [], 0
-        now.append(ids)
+        now.append((words, ids))
         size += len(ids)
     if now:
         yield now
@@ -174,9 +189,50 @@ def counts(docs: DataFrame, most: int = COUNTED) -> DataFrame:
     return _texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Places(dict):
+    """Word to place: ids of the listed words, then the common words, then the buckets of the rare ones."""
+
+    def __init__(self, listed: list[bytes], common: dict[bytes, int], totals: np.ndarray) -> None:
+        super().__init__((w, n + 1) for n, w in enumerate(listed))
+        self.rare = 1 + WORDS + len(common)
+        self.update((w, 1 + WORDS + n) for n, w in enumerate(common))
+        self.most = len(self) + COUNTED
+        buckets = np.fromiter((zlib.crc32(w) % BUCKETS for w in common), np.int32, len(common))
+        self.ids = np.concatenate([np.arange(1 + WORDS), 1 + WORDS + buckets, 1 + WORDS + np.arange(BUCKETS)]).astype(np.int32)
+        # ln of the word's share; of a rare word that of a count of 1, to which the join adds ln n
+        whole = np.log(totals + 1)
+        self.shares = np.concatenate([np.zeros(1 + WORDS), np.log(np.fromiter(common.values(), float, len(common))) - whole[buckets], -whole])
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.rare + zlib.crc32(word) % BUCKETS
+        if len(self) < self.most:
+            self[word] = found
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    rows = counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    return Vocabulary([bytes(r.word) for r in rows])
+    known = checkpointed(counts(docs))
+    listed = {bytes(r.word): r.n for r in known.orderBy(F.desc("n"), "word").limit(WORDS).collect()}
+    totals = np.zeros(BUCKETS)
+    for r in known.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[r.bucket] = r.n
+    for word, n in listed.items():
+        totals[zlib.crc32(word) % BUCKETS] -= n
+    # Whole bands of counts, from the top, while their words fit; a few hundred bands for any corpus.
+    band = F.floor(F.log2("n") * BANDS)
+    room, least = COMMON + len(listed), None
+    for r in known.where("n > 1").groupBy(band.alias("band")).agg(F.count("*").alias("words")).orderBy(F.desc("band")).collect():
+        room -= r.words
+        if room < 0:
+            break
+        least = r.band
+    above = known.where("n > 1").where(F.lit(False) if least is None else band >= least).toArrow()
+    common = {w: n for w, n in zip(above["word"].to_pylist(), above["n"].to_pylist()) if w not in listed}
+    rare = known.where("n > 1").where(F.lit(True) if least is None else band < least)
+    return Vocabulary(list(listed), totals, common, rare)
 
 
 def train(docs: DataFrame, words: Vocabulary) -> Network:
@@ -185,8 +241,8 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net, tokens = Vocabulary(listed), Network(), 0
-        for held in _held((t.as_py() for b in batches for t in b.column(1)), known):
-            ids, around = windows(held)
+        for held in _held((split(t.as_py()) for b in batches for t in b.column(1)), known.ids):
+            ids, around = windows([ids for _, ids in held])
             order = np.random.default_rng(tokens).permutation(len(ids))
             for at in range(0, len(ids), BATCH):
                 some = order[at : at + BATCH]
@@ -217,24 +273,36 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
 
 def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
     """doc_id, n_tokens, pll (sum of ln P) and mean_pll of every row."""
-    listed, flat = words.words, net.flat
+    listed, common, totals, flat = words.words, words.common, words.totals, net.flat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trained = Vocabulary(listed), Network(flat)
+        known, trained = Places(listed, common, totals), Network(flat)
         for batch in batches:
-            sums, sizes = [], []
-            for held in _held((t.as_py() for t in batch.column(1)), known):
-                ids, around = windows(held)
+            sums, sizes, rare = [], [], []
+            for held in _held(map(split, (t.as_py() for t in batch.column(1))), known.of):
+                for words, places in held:
+                    rare.append([words[i] for i in np.flatnonzero(places >= known.rare)])
+                lengths = [len(places) for _, places in held]
+                ids, around = windows([known.ids[places] for _, places in held])
                 found = np.concatenate([trained.score(around[a : a + BATCH], ids[a : a + BATCH]) for a in range(0, len(ids), BATCH)] or [np.zeros(0)])
-                ends = np.cumsum([len(i) for i in held])
+                found = found + known.shares[np.concatenate([places for _, places in held])]
+                ends = np.cumsum(lengths)
                 running = np.concatenate(([0.0], np.cumsum(found, dtype=float)))
-                sums += (running[ends] - running[ends - [len(i) for i in held]]).tolist()
-                sizes += [len(i) for i in held]
-            means = [s / n if n else None for s, n in zip(sums, sizes)]
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "pll", "mean_pll"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, mean_pll double")
+                sums += (running[ends] - running[ends - lengths]).tolist()
+                sizes += lengths
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "pll", "rare"])
+
+    rows = _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, rare array<binary>")
+    mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll")
+    if words.rare is None:
+        return rows.select("doc_id", "n_tokens", "pll", mean)
+    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.explode("rare").alias("word")).join(words.rare, "word")  # a word met once adds ln 1
+    added = each.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.log("n").alias("pll"))
+    both = rows.select("row", "doc_id", "n_tokens", "pll").unionByName(added)
+    out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("pll").alias("pll"))
+    return out.select("doc_id", "n_tokens", "pll", mean)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
