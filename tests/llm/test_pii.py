@@ -77,6 +77,24 @@ def test_trees_add_other_spellings_and_leave_lookalikes(spark):
     assert not any(got[k] for k in (10, 11, 12, 13))
 
 
+def test_every_match_of_a_wide_pattern_is_a_candidate(spark):
+    """No test in front of a pattern depends on the rest of the text."""
+    alone = [
+        ("email", "contact jane.doe(at)example.org"), ("email", "jane [at] host.org"), ("email", "contact jane @example.org"),
+        ("email", "jane at host dot org"), ("email", "jane ( at ) host . org"), ("email", "jane at host (dot) org"),
+        ("ip", "host 1dot2dot3dot4"), ("ip", "host 1 [dot] 2 [dot] 3 [dot] 4"), ("phone", "call (030)--12"), ("phone", "call (030)- 12 now"),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(alone)], "i int, t string")
+    got = {r.i: set(r.k) for r in rows.selectExpr("i", f"transform({pii._candidates('t', pii._base('t'))}, c -> c.kind) as k").collect()}
+    assert [(i, kind) for i, (kind, _) in enumerate(alone) if kind not in got[i]] == []
+
+
+def test_spellings_of_the_examples_are_found_alone(spark):
+    rows = [(1, "please contact jane.doe(at)example.org"), (2, "write to jane(at)host.org about it"), (3, "server 1dot2dot3dot4")]
+    out = {r.doc_id: r.text for r in pii.redact(documents(spark, rows)).collect()}
+    assert out[1] == "please contact [EMAIL]" and out[2] == "write to [EMAIL] about it" and out[3] == "server [IP]"
+
+
 def test_thresholds_hold_their_precision_on_fresh_examples(spark):
     made = pii.examples(1500, seed=99)
     rows = [(i, t) for i, (t, _) in enumerate(made)]

@@ -63,10 +63,10 @@ BASE = {
     ),
 }
 
-#: kind -> (test, pattern) of the wider generators.
+#: kind -> (test, pattern) of the wider generators. The pattern implies the test: every match contains one of the test's.
 WIDE = {
     "email": (
-        "({t} rlike r'(?i)@ |[(\\[{{] ?at ?[)\\]}}]| at ') and {t} rlike r'(?i)[ (\\[{{]dot[ )\\]}}]|@'",
+        "{t} rlike r'(?i)@|[(\\[{{] ?at ?[)\\]}}]| at [A-Z0-9-]{{1,63}}+ ?(?:[(\\[{{]| dot )'",
         r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}+ ?(?:@|[(\[{] ?at ?[)\]}]| at (?=[A-Z0-9-]{1,63} ?(?:[(\[{]| dot ))) ?[A-Z0-9-]{1,63}+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]|(?<= )dot(?= )) ?[A-Z0-9-]{1,63}+){1,8}+",
     ),
     "ip": (
@@ -78,7 +78,7 @@ WIDE = {
         r"(?<![0-9])[0-9](?:[ ./_-]{0,2}[0-9]){12,18}(?![ ./_-]{0,2}[0-9])",
     ),
     "phone": (
-        r"{t} rlike r'[0-9]{{2}}[ ()./-]{{0,2}}[0-9]{{2}}'",
+        r"{t} rlike r'[0-9]{{2}}[ ()./-]{{0,3}}[0-9]{{2}}'",
         r"(?<![0-9A-Za-z+])(?:\(0?[0-9]{2,4}\)|00[0-9]{1,3}|0[0-9]{1,4}|[0-9]{3})(?:[ ./-]{1,2}[0-9]{2,8}){1,5}(?![0-9])",
     ),
 }
@@ -255,8 +255,8 @@ def with_spans(docs: DataFrame, text: str, base: str, spans: str) -> DataFrame:
     order = f"""(a, b) -> case when {kind.format('a')} <> {kind.format('b')} then int({kind.format('a')} - {kind.format('b')})
         when a.start <> b.start then a.start - b.start else a.end - b.end end"""
     added = _added(f"`{t}`", f"`{base}`", trees, cuts)
-    # Texts without any digit pair, @ or spelled-out "at" have no candidates of any kind.
-    added = f"case when `{t}` rlike r'(?i)[0-9][^a-zA-Z]{{0,3}}[0-9]|@|[(\\[{{ ]at[)\\]}} ]' then {added} else cast(array() as array<{SPAN}>) end"
+    # Texts without any digit pair, digits around a dot, @ or spelled-out "at" have no candidates of any kind.
+    added = f"case when `{t}` rlike r'(?i)[0-9][^a-zA-Z]{{0,3}}[0-9]|[0-9] ?[(\\[{{]?(?:\\.|dot)[)\\]}}]? ?[0-9]|@|[(\\[{{ ]at[)\\]}} ]' then {added} else cast(array() as array<{SPAN}>) end"
     return settled(df.withColumn(spans, F.expr(f"array_sort(concat(`{base}`, {added}), {order})")).drop(t), spans)
 
 
