@@ -58,6 +58,26 @@ def test_verdict_keeps_ordinary_documents_and_drops_outliers(spark):
     assert not any(v for k, v in got.items() if k >= 1000)
 
 
+def test_every_metric_rejects_beyond_the_base_rules(spark):
+    rng = random.Random(9)
+    lines = lambda n, same: "\n".join([prose(rng, 12) for _ in range(n)] + ["one line that is here again"] * same)
+    some = prose(rng, 10)
+    odd = {
+        "symbol": prose(rng, 100).replace(" ", " # ", 30),
+        "upper": prose(rng, 60) + prose(rng, 60).upper(),
+        "mark": prose(rng, 100).replace(" ", "! ", 30),
+        "dup_line": lines(12, 9),
+        "repeat": f"{prose(rng, 25)} {some} {prose(rng, 25)} {some}",
+        "word_length": prose(rng, 100).replace(" ", "", 40),
+    }
+    rows = [(i, prose(rng, 120), "en", "s") for i in range(300)] + [(1000 + i, lines(10, 2), "en", "s") for i in range(5)]
+    rows += [(5000 + i, t, "en", "s") for i, t in enumerate(odd.values())]
+    got = {r.doc_id: r for r in rules.rate(documents(spark, rows)).collect()}
+    assert not any(got[5000 + i].base_failed for i in range(len(odd)))
+    assert [k for i, k in enumerate(odd) if got[5000 + i].kept] == []
+    assert all(r.kept for k, r in got.items() if k < 5000)
+
+
 def test_thresholds_follow_the_group(spark):
     """A source whose ordinary documents carry symbols keeps them; elsewhere the same text is an outlier."""
     rng = random.Random(7)

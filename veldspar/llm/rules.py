@@ -5,8 +5,12 @@
    fixed base rules. Sketches merge, so the per-language and the corpus sketch are merged from the
    group sketches, not counted again. A group with fewer than ``least`` documents takes its
    language's threshold, a language with fewer takes the corpus's.
-   A threshold is median + ``spread`` * max(quartile distance, ``floor`` of the metric): a far-out fence,
-   which moves with the group but leaves its ordinary documents alone.
+   A threshold is median + ``spread`` * width, a far-out fence, which moves with the group but leaves its
+   ordinary documents alone. The width is the quartile distance or, where the upper tail is longer, the
+   distance from the median to the 0.9 quantile up to ``TAIL`` floors (more would let junk, where it is a
+   tenth of a group, widen its own fence); it is at least the ``floor`` of the metric. The floors keep
+   every fence inside what the metric can reach: repeat_share at 0.28 where few documents repeat, below
+   the base rule's 0.30 at any tail.
 3. ``judge`` joins the thresholds to the documents and drops what lies beyond a fence.
 
 Scale. The sketches aggregate map-side, so a source with a third of all rows sends one sketch per task.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions.shared import broadcast_if_small, checkpointed, fresh
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, n_lines long"
 _NAMES = [part.split()[0] for part in MEASURES.split(", ")]
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SPACE = " \t\n\r\x0b\x0c"
@@ -37,9 +41,11 @@ _SYMBOLS = "#*$%&|<>"
 _MARKS = "!?|#*$%&<>{}[]=~^\\"
 WINDOW = 8
 
-#: metric -> least quartile distance that counts, as a share
-FLOORS = {"symbol_share": 0.02, "upper_share": 0.06, "mark_share": 0.02, "dup_line_share": 0.06, "repeat_share": 0.08, "word_length": 1.0}
+#: metric -> least width of a fence
+FLOORS = {"symbol_share": 0.01, "upper_share": 0.01, "mark_share": 0.005, "dup_line_share": 0.085, "repeat_share": 0.07, "word_length": 0.4}
 SPREAD = 4.0
+#: Floors that the upper tail can widen a fence to; the shares that are 0 in ordinary documents keep theirs.
+TAIL = {"symbol_share": 1.5, "upper_share": 1.5, "mark_share": 1.5, "dup_line_share": 1.0, "repeat_share": 1.0, "word_length": 1.5}
 K = 200
 
 
@@ -74,7 +80,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
     text = text or ""
     words = text.encode("utf-8", "replace").split()
     if not words:
-        return (0, 0, sum(map(text.count, _SYMBOLS)), 0, 0, 0, 0)
+        return (0, 0, sum(map(text.count, _SYMBOLS)), 0, 0, 0, 0, 0)
     lines = [line for line in text.split("\n") if line.strip(_SPACE)]
     return (
         len(words),
@@ -84,6 +90,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
         repeated_words(words),
         len(_UPPER.findall(text)),
         sum(map(text.count, _MARKS)),
+        len(lines),
     )
 
 
@@ -104,12 +111,12 @@ def base_failed(m: Column) -> Column:
 
 
 def metrics(m: Column) -> dict[str, Column]:
-    chars, words = F.greatest(m["word_chars"], F.lit(1)), F.greatest(m["n_words"], F.lit(1))
+    chars, words, lines = (F.greatest(m[n], F.lit(1)) for n in ("word_chars", "n_words", "n_lines"))
     return {
         "symbol_share": m["n_symbols"] / chars,
         "upper_share": m["n_upper"] / chars,
         "mark_share": m["n_marks"] / chars,
-        "dup_line_share": m["n_dup_lines"] / words,
+        "dup_line_share": m["n_dup_lines"] / lines,
         "repeat_share": m["n_repeat_words"] / words,
         "word_length": m["word_chars"] / words,
     }
@@ -127,8 +134,9 @@ def thresholds(measured: DataFrame, m: str, lang: str = "lang", source: str = "s
     def fences(prefix: str) -> Column:
         out = []
         for k, floor in FLOORS.items():
-            q = [F.kll_sketch_get_quantile_double(f"{prefix}.{k}", F.lit(x)) for x in (0.25, 0.5, 0.75)]
-            out.append(q[1] + F.lit(spread) * F.greatest(q[2] - q[0], F.lit(floor)))
+            q = [F.kll_sketch_get_quantile_double(f"{prefix}.{k}", F.lit(x)) for x in (0.25, 0.5, 0.75, 0.9)]
+            tail = F.least(q[3] - q[1], F.lit(TAIL[k] * floor))
+            out.append(q[1] + F.lit(spread) * F.greatest(q[2] - q[0], tail, F.lit(floor)))
         return F.array(*out)
 
     own = sketched.alias("g").select("lang", "source", F.when(F.col("n") >= least, fences("g")).alias("own"))
