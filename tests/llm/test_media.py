@@ -30,6 +30,15 @@ def test_documents_round_trip(spark):
     assert by[hashlib.sha256(media.payload("one")).hexdigest()][:2] == (len(image), hashlib.sha256(image).hexdigest())
 
 
+def test_pages_hold_the_whole_text(spark):
+    rows = [(1, "x" * 300 + " end\nsecond  <b>line</b> &amp; more\n \n" + "third " * 50), (2, "\n\nafter a blank line"), (3, ""), (4, None), *((100 + i, text) for i, (_, text, *_) in enumerate(ODD))]
+    got = {r.doc_id: r for r in media.roundtrip(documents(spark, rows)).collect()}
+    for doc, text in rows:
+        items = [" ".join(line.split()) for line in (text or "").split("\n") if line.strip()]
+        assert (got[doc].n_texts, got[doc].position) == (len(items), min(1, len(items)))
+        assert got[doc].texts_sha256 == hashlib.sha256("\n".join(items).encode()).hexdigest()
+
+
 def test_stored_form_is_lossless_and_checked():
     rng = random.Random(2)
     for n in (0, 1, 191, 192, 193, 5000):

@@ -7,8 +7,10 @@
   ``read_back`` checks the chunks' sums and returns the samples.
 * ``resolve`` joins references to a store of media by digest (SHA-256 of the stored bytes). Positions
   and captions travel with the reference, so they stay aligned whatever order the join returns.
-* ``roundtrip`` does this for documents: each becomes a page with its text's payload as a referenced
-  image; pages and store are written, read back and joined.
+* ``roundtrip`` does this for documents: each becomes a page of its whole text, a paragraph for each line,
+  with the text's payload as a referenced image after the first paragraph. The page is parsed where it is
+  made: the text is stored once, in the image, and of the page its sequence: place, caption and reference
+  of the medium, number and digest of the text items. These and the store are written, read back and joined.
 
 Scale. Payload bytes are written once and never shuffled: they are read back and reduced to features
 where they lie, and only the features (some 300 bytes a medium) are made unique by digest, which
@@ -206,10 +208,22 @@ def resolve(refs: DataFrame, features: DataFrame, digest: str = "digest") -> Dat
 # ---- documents as pages --------------------------------------------------------------------------
 
 SCHEME = "media:sha256:"
+PAGED = "doc_id long, n_bytes long, position int, caption string, n_texts long, texts_sha256 string, digest string, media binary"
+
+
+def page_of(text: str | None, digest: str, size: int, height: int) -> str:
+    """The page of a text: its lines as paragraphs, the image after the first that is not blank."""
+    lines = [line for line in (text or "").split("\n") if line and not line.isspace()]
+    paragraphs = [f"<p>{markup.escape(line)}</p>" for line in lines]
+    figure = f'<figure><img src="{SCHEME}{digest}" width="{ROW}" height="{height}"><figcaption>{size} bytes</figcaption></figure>'
+    return f"<article>{''.join(paragraphs[:1])}{figure}{''.join(paragraphs[1:])}</article>"
 
 
 def pages_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html, digest and media of each document: its page and the image that the page refers to."""
+    """The sequence of each document's page (see PAGED) and the image that the page refers to, a row for each medium.
+
+    A text item is a line's words with single spaces; blank lines give none. texts_sha256 is of the items, joined by line feeds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,21 +234,20 @@ def pages_of(docs: DataFrame) -> DataFrame:
                     image = stored(samples)
                     digest = hashlib.sha256(image).hexdigest()
                     n = len((text or "").encode())
-                    lead = markup.escape((text or "").split("\n", 1)[0][:80])
-                    page = f'<article><p>{lead}</p><figure><img src="{SCHEME}{digest}" width="{ROW}" height="{len(samples) // ROW}"><figcaption>{n} bytes</figcaption></figure></article>'
-                    rows.append((doc, n, page, digest, image))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "html", "digest", "media"])
+                    items = parse(page_of(text, digest, n, len(samples) // ROW))
+                    texts = [i["text"] for i in items if i["kind"] == "text"]
+                    summary = hashlib.sha256("\n".join(texts).encode()).hexdigest()
+                    rows += [(doc, n, i["position"], i["caption"], len(texts), summary, i["ref"].removeprefix(SCHEME), image) for i in items if i["kind"] == "media"]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[p.split()[0] for p in PAGED.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
+    return rows.mapInArrow(run, PAGED)
 
 
 def roundtrip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, the features of the medium as read back from the store, and its place and caption on the page."""
+    """doc_id, n_bytes, the features of the medium as read back from the store, and its place and caption on the page, and the number and digest of the page's text items."""
     path = scratch(docs.sparkSession, "media")
     pages_of(docs).write.option("compression", "none").parquet(path)  # the images are compressed already
     written = docs.sparkSession.read.parquet(path)
-    parsed = written.select("doc_id", "n_bytes", F.explode(F.filter(sequences("html"), lambda i: i["kind"] == "media")).alias("item"))
-    refs = parsed.select("doc_id", "n_bytes", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.expr(f"substring(item.ref, {len(SCHEME) + 1})").alias("digest"))
-    return resolve(refs, described(written)).drop("digest")
+    return resolve(written.drop("media"), described(written)).drop("digest")
