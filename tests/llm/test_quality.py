@@ -14,6 +14,19 @@ def is_held(doc):
     return zlib.crc32(str(doc).encode()) % 3 == 1
 
 
+def test_windows_reach_the_end_of_the_text():
+    at = {name: n for n, name in enumerate(quality.STATISTICS)}
+    for n in (1, 30, 59, 60, 61, 75, 90, 91, 119, 150, 200):
+        clean = [f"word{i}" for i in range(n)]
+        plain = quality.statistics(" ".join(clean))
+        for place in {0, n // 2, n - 1}:
+            junk = quality.statistics(" ".join([*clean[:place], "#A#A#", *clean[place + 1 :]]))
+            for name in ("upper", "symbols", "worst_upper", "worst_symbols"):
+                assert junk[at[name]] > plain[at[name]]
+    tail = quality.statistics(" ".join([f"word{i}" for i in range(60)] + ["same"] * 30))
+    assert tail[at["worst_distinct"]] == 61 / 90
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()

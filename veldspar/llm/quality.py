@@ -41,7 +41,7 @@ _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _DIGIT = re.compile(r"[0-9]")
 _ODD = re.compile(r"[^\w\s.,;:!?'\"()-]")
 _SYMBOL = re.compile(r"[#*$%&|<>@~^=+{}\[\]\\/]")
-#: Words of a window; the worst window catches texts that are junk in part.
+#: Words of a window (a last one of half as many or fewer belongs to the one before); the worst window catches texts that are junk in part.
 WINDOW = 60
 
 
@@ -57,8 +57,9 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x and not x.isspace()] or [""]
     stops = text.count(".")
     upper, symbols, distinct = [], [], []
-    for at in range(0, max(1, n - WINDOW // 2), WINDOW):
-        part = words[at : at + WINDOW]
+    starts = range(0, max(1, n - WINDOW // 2), WINDOW)
+    for at in starts:
+        part = words[at : at + WINDOW if at != starts[-1] else n]
         joined = "".join(part)
         upper.append(len(_UPPER.findall(joined)) / len(joined))
         symbols.append(len(_SYMBOL.findall(joined)) / len(joined))
