@@ -61,6 +61,23 @@ def test_ownership_tells_examples_from_live_credentials(spark):
     assert got[20].spans == "" and got[21].spans.startswith("url:")
 
 
+def test_wider_values_have_no_length_cap(spark):
+    rng = random.Random(8)
+    run = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdeghijkmnopqrstuvwxyz") for _ in range(n))
+    body = lambda n: "\n".join(run(64) for _ in range(n))
+    long = [
+        ("token", f"ghp_{run(700)}"), ("web", f"eyJ{run(5000)}.{run(60)}.{run(43)}"), ("web", f"eyJ{run(60)}.{run(9000)}.{run(43)}"), ("web", f"eyJ{run(60)}.{run(60)}.{run(3000)}"),
+        ("pem", f"-----BEGIN PRIVATE KEY-----\n{body(300)}\n-----END PRIVATE KEY-----"), ("url", f"pg://me:{run(500)}@"), ("url", f"pg://{run(200)}:{run(30)}@"), ("url", f"{run(40).lower()}://me:{run(30)}@"),
+    ]
+    got = {r.doc_id: r.spans for r in secrets.report(documents(spark, [(i, f"see {t} now") for i, (_, t) in enumerate(long)])).collect()}
+    assert got == {i: f"{kind}:4:{4 + len(t)}" for i, (kind, t) in enumerate(long)}
+
+
+def test_wider_patterns_are_linear_on_runs_without_a_match():
+    for text in ("eyJaaaaaaaaa_" * 20_000, "eyJaaaaaaaaa." * 20_000, "a.b-" * 100_000 + "://", "ghp_" * 100_000, "-----BEGIN PRIVATE KEY-----" * 10_000):
+        secrets.wide_spans(text, [(k, 0, len(text), "") for k in ("hex",)])
+
+
 def test_counts_are_distinct_repositories_and_owners(spark):
     value = "secret=Qw3rTy7UiOp9"
     rows = [(i, value, lang, source) for i, (lang, source) in enumerate([("en", "a"), ("de", "a"), ("en", "a"), ("en", "b"), ("en", None), (None, None)])]

@@ -48,11 +48,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of hex digits is one match, however long
+#: Runs are possessive and of any length. A run that could begin a match but does not is one match without
+#: a value: it is passed over whole, not tried again from its middle, so a text costs time in proportion to it.
 _WIDE = {
-    "token": (("gh", "xox", "sk_live", "rk_live", "glpat-", "npm_"), re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abprs]-|[sr]k_live_|glpat-|npm_)([A-Za-z0-9_-]{16,255})")),
-    "web": (("eyJ",), re.compile(r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000})")),
-    "pem": (("PRIVATE KEY-----",), re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\s]{32,8000})-----END [A-Z ]{0,20}PRIVATE KEY-----")),
-    "url": (("://",), re.compile(r"(?<![A-Za-z])[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@")),
+    "token": (("gh", "xox", "sk_live", "rk_live", "glpat-", "npm_"), re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abprs]-|[sr]k_live_|glpat-|npm_)([A-Za-z0-9_-]{16,}+)")),
+    "web": (("eyJ",), re.compile(r"(?<![A-Za-z0-9])(?:(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)|eyJ[A-Za-z0-9_-]{8,}+)")),
+    "pem": (("PRIVATE KEY-----",), re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\s]{32,}+)-----END [A-Z ]{0,20}PRIVATE KEY-----")),
+    "url": (("://",), re.compile(r"(?<![A-Za-z])[a-z][a-z0-9+.-]++(?:://[^\s:/@]++:([^\s:/@]{6,}+)@)?")),
 }
 _FILLER = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|test|1234|abcd")
 
@@ -79,7 +81,7 @@ def wide_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[s
     for kind, (signs, pattern) in _WIDE.items():
         if any(s in text for s in signs):
             for m in pattern.finditer(text):
-                if not any(a < m.end() and m.start() < b for _, a, b, _ in [*base, *out]):
+                if m[1] is not None and not any(a < m.end() and m.start() < b for _, a, b, _ in [*base, *out]):
                     out.append((kind, m.start(), m.end(), m[1]))
     return out
 
