@@ -21,15 +21,15 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def settled(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the column as it is, behind a projection that the optimizer neither inlines nor pushes filters through.
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the columns as they are, behind a projection that the optimizer neither inlines nor pushes filters through.
 
     ``explode`` of a column implies a filter on its size; pushed down, that filter would evaluate the
     whole chain of expressions that makes the column once more.
     """
     from pyspark.sql import functions as F
 
-    return df.withColumn(column, F.when(F.rand(0) >= 0, F.col(f"`{column}`")))
+    return df.withColumns({c: F.when(F.rand(0) >= 0, F.col(f"`{c}`")) for c in columns})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Entities, personal data and identity evidence of a text: ordered pattern lists with overlap rules.
 
-Each step adds a column that sees the spans found so far, so an ordered scan of one document is a chain
-of projections in the JVM. Backends that need a model are a function given by the caller.
+The lists of one scan are columns of a projection and the overlap rules one fold over them, in the JVM. Backends that need a model are a function given by the caller.
 """
 
 from __future__ import annotations
@@ -56,29 +55,35 @@ PLAIN_LABELS = ("organization", "company", "employer", "location", "city", "stat
 
 
 class _Scan:
-    """A chain of projections over one array column."""
+    """Ordered lists of spans, folded into one array.
+
+    Every list depends on the text alone, so each is a column of one projection; the overlap rules are one
+    fold over these columns. No expression occurs twice, so plans grow with the sum of the lists.
+    """
 
     def __init__(self, df: DataFrame, text: str, into: str, kind: str) -> None:
-        self.t, self.kind, self.into = spans.text_of(text), kind, into
-        (self.column,) = fresh(df, f"scan_{into}")
-        self.df = df.withColumn(self.column, F.expr(f"cast(array() as array<{kind}>)"))
-
-    def add(self, found: str, check: bool = True) -> _Scan:
-        """Append spans; with ``check`` only those that overlap none before them. Spans of one list never overlap each other."""
-        if check:
-            found = f"if(size(`{self.column}`) = 0, {found}, filter({found}, s -> not exists(`{self.column}`, o -> {spans.overlap('o', 's')})))"
-        new = f"concat(`{self.column}`, {found})"
-        self.df = self.df.withColumn(self.column, F.expr(new))
-        return self
+        self.df, self.t, self.kind, self.into = df, spans.text_of(text), kind, into
+        self.lists: list[str] = []
+        self.rules: list[str] = []
 
-    def apply(self, sql: str) -> _Scan:
-        """Replace the array by SQL in which {a} stands for it."""
-        self.df = self.df.withColumn(self.column, F.expr(sql.format(a=f"`{self.column}`")))
+    def add(self, found: str, check: bool = True, drops: str = "") -> _Scan:
+        """Append spans; with ``check`` only those that overlap none before them. Spans of one list never overlap each other.
+
+        Spans before them whose type is ``drops`` go if one of the new ones overlaps them.
+        """
+        self.lists.append(found)
+        self.rules.append(f"'check', {str(check).lower()}, 'drops', '{drops}'")
         return self
 
     def done(self) -> DataFrame:
-        df = self.df.drop(self.into) if self.into in self.df.columns else self.df
-        return settled(df.withColumnRenamed(self.column, self.into), self.into)
+        columns = fresh(self.df, *(f"scan_{self.into}_{i}" for i in range(len(self.lists))))
+        df = self.df.withColumns({c: F.expr(found) for c, found in zip(columns, self.lists)}).transform(settled, *columns)
+        before = f"if(g.drops = '', a, filter(a, e -> e.entity_type <> g.drops or not exists(g.s, s -> {spans.overlap('s', 'e')})))" if any("'drops', ''" not in r for r in self.rules) else "a"
+        kept = f"if(g.check and size(a) > 0, filter(g.s, s -> not exists(a, o -> {spans.overlap('o', 's')})), g.s)"
+        groups = ", ".join(f"named_struct({rule}, 's', `{c}`)" for rule, c in zip(self.rules, columns))
+        df = df.withColumn(columns[0], F.expr(f"aggregate(array({groups}), cast(array() as array<{self.kind}>), (a, g) -> concat({before}, {kept}))"))
+        df = df.drop(self.into) if self.into in df.columns else df
+        return df.withColumnRenamed(columns[0], self.into).drop(*columns[1:])
 
 
 def _entity(found: str, kind: str, confidence: str, source: str = "'regex'", text: str = "s.m", metadata: str = "map()") -> str:
@@ -116,11 +121,7 @@ def extract(df: DataFrame, text: str = "text", into: str = "entities", types: li
     if wanted("EMAIL"):
         scan.add(_entity(spans.matches(t, EMAIL, f"contains({t}, '@')"), "EMAIL", "0.95D"), check=False)
     if wanted("NATIONAL_ID"):
-        (ids,) = fresh(scan.df, "ids")
-        scan.df = scan.df.withColumn(ids, F.expr(detectors.identifier_sql(t)))
-        scan.apply(f"filter({{a}}, e -> not (e.entity_type = 'PHONE' and exists(`{ids}`, d -> {spans.overlap('d', 'e')})))")
-        scan.add(f"transform(`{ids}`, d -> named_struct('text', d.text, 'entity_type', 'NATIONAL_ID', 'confidence', d.confidence, 'start', d.start, 'end', d.end, 'source', 'african', 'metadata', cast(map('country', d.country, 'id_type', substring(d.category, 7)) as map<string,string>)))", check=False)
-        scan.df = scan.df.drop(ids)
+        scan.add(f"transform({detectors.identifier_sql(t)}, d -> named_struct('text', d.text, 'entity_type', 'NATIONAL_ID', 'confidence', d.confidence, 'start', d.start, 'end', d.end, 'source', 'african', 'metadata', cast(map('country', d.country, 'id_type', substring(d.category, 7)) as map<string,string>)))", check=False, drops="PHONE")
     if wanted("MONEY"):
         scan.add(f"transform({detectors.money_sql(t)}, d -> named_struct('text', d.text, 'entity_type', 'MONEY', 'confidence', 0.85D, 'start', d.start, 'end', d.end, 'source', 'african', 'metadata', map_filter(d.metadata, (k, v) -> k in ('currency', 'amount'))))", check=False)
         scan.add(_entity(spans.matches(t, money.STANDARD, f"{t} rlike '[0-9]'"), "MONEY", "0.85D"))
@@ -129,12 +130,12 @@ def extract(df: DataFrame, text: str = "text", into: str = "entities", types: li
             scan.add(_entity(spans.matches(t, pattern, f"{t} rlike '[0-9]'"), "DATE", "0.8D"))
     if wanted("URL"):
         scan.add(_entity(spans.matches(t, URL, f"contains({t}, 'http') or contains({t}, 'www.')"), "URL", "0.95D"), check=False)
+    df = scan.done()
     if model is not None:
-        (proposed,) = fresh(scan.df, "model")
-        scan.df = scan.df.withColumn(proposed, model(F.expr(t)).cast(f"array<{ENTITY}>"))
-        scan.apply(merge_sql(f"`{proposed}`", "{a}"))
-        scan.df = scan.df.drop(proposed)
-    return scan.done()
+        (proposed,) = fresh(df, "model")
+        df = df.withColumn(proposed, model(F.expr(t)).cast(f"array<{ENTITY}>"))
+        df = df.withColumn(into, F.expr(merge_sql(f"`{proposed}`", f"`{into}`"))).drop(proposed)
+    return settled(df, into)
 
 
 def merge_sql(primary: str, secondary: str, trusted: str = "african") -> str:
