@@ -111,3 +111,36 @@ def test_odd_rows_and_columns(spark):
     assert all(got[str(d)] >= n for d, n in Counter(str(r[0]) for r in ODD).items())
     assert mixing.mix(documents(spark, [])).count() == 0
     assert mixing.realised(documents(spark, [(1, "a b")])).collect()[0].asDict() == {"doc_id": 1, "source": "s", "n_tokens": 2, "weight": 1.0, "pass": 0, "place": 0.0}
+
+
+def test_quotas_of_nothing_give_nothing(spark):
+    df = documents(spark, [(i, "w " * 10, "en", f"s{i % 3}") for i in range(30)])
+    assert mixing.mix(df, budget=1).count() == 0
+    whole = mixing.mix(df, budget=300)  # as many passes as fit, nothing left over
+    assert whole.count() == 30 and {r.mix_pass for r in whole.collect()} == {0}
+
+
+def test_a_partial_pass_leaves_out_what_is_longer_than_itself(spark):
+    long_only = documents(spark, [(i, "w " * 4000, "en", "a") for i in range(3)])
+    assert mixing.mix(long_only, budget=50).count() == 0
+    rows = [(i, "w " * 4000, "en", "a") for i in range(40)] + [(100 + i, "w " * (1 + i % 7), "en", "a") for i in range(60)]
+    out = mixing.mix(documents(spark, rows), budget=50).collect()
+    assert all(r.doc_id >= 100 for r in out) and 50 - 7 <= sum(r.mix_tokens for r in out) <= 50
+
+
+def test_partial_pass_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    rows = corpus(random.Random(5), [300, 40])
+    out = mixing.mix(documents(spark, rows), budget=2000).collect()
+    for s in ("s0", "s1"):
+        mine = sorted((r for r in out if r.source == s), key=lambda r: r.mix_place)
+        total = sum(words(r[1]) for r in rows if r[3] == s)
+        quota = round(mine[0].mix_weight * 2000)
+        passes, rest = divmod(quota, total)
+        assert all(sum(r.mix_tokens for r in mine if r.mix_pass == k) == total for k in range(passes))
+        last = sum(r.mix_tokens for r in mine if r.mix_pass == passes)
+        assert last <= rest < last + max(words(r[1]) for r in rows)
+        at = 0
+        for r in mine:  # places are prefix sums without gaps, across blocks and spans
+            assert abs(r.mix_place * quota - at) < 1e-6 * max(1, quota)
+            at += r.mix_tokens

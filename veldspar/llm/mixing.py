@@ -8,19 +8,23 @@
    not meet (a budget of more than ``max_repeats`` corpora) is an error.
 3. A source's quota is w * budget tokens: whole passes over its documents and a last partial pass.
    Every pass has its own order: blocks (hash groups of about ``BLOCK`` documents) are permuted, and
-   documents within blocks. The partial pass takes the documents whose tokens end within the quota.
+   documents within blocks. The partial pass leaves out documents longer than itself and takes the others
+   while their tokens end within the quota, so it falls short by less than one document.
    Without a ``budget`` it is the smallest that uses every document at least once.
 
 ``place`` is the share of the source's quota used before the copy: sorting all copies by it interleaves
 the sources at their weights.
 
-Scale. Prefix sums run on two levels (blocks within a source, documents within a block), so a source
-with a third of all rows is spread over its blocks. One shuffle of the rows, by source, pass and block.
-The driver only sees the trial sums of the bisection.
+Scale. Prefix sums run on three levels: documents within a block, blocks within a span of the pass's
+order, spans within the pass. Spans and the blocks of one are about the square root of the blocks, so a
+source with a third of all rows fills no task. Texts are tokenised twice, for the plan and for the
+result, and shuffled once, by source and block. The driver only sees the trial sums of the bisection.
 
 Defined results: a document has as many tokens as words, one at least, so empty and null texts have a
-place too; null source is a source; rows with equal doc_id are different rows; equal rows tie and stay
-together; all columns are kept; an empty table gives an empty result.
+place too, and a very long text is one document like any other; null source is a source; a source whose
+quota is 0 or less than its shortest document gives no rows; rows with equal doc_id are different rows;
+equal rows tie and stay together; ``mix`` keeps all columns, whatever their names, and ``realised`` reads
+doc_id, source and text alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.functions.shared import checkpointed, fresh
+from veldspar.functions.shared import broadcast_if_small, checkpointed, fresh
 
 BLOCK = 512
 #: Exponents tried in one round, and rounds: the exponent is exact to (1 / (TRIES + 1)) ** ROUNDS.
@@ -73,19 +77,47 @@ def exponent(totals: DataFrame, budget: int | None = None, max_repeats: float =
     return high
 
 
-def quotas(docs: DataFrame, source: str = "source", text: str = "text", budget: int | None = None, max_repeats: float = MAX_REPEATS, entropy: float = ENTROPY) -> tuple[DataFrame, int]:
-    """source, t, n, weight, passes (whole), rest (tokens of the partial pass), quota; and the row count."""
-    totals = checkpointed(docs.select(F.col(source).cast("string").alias("source"), tokens(text).alias("t")).groupBy("source").agg(F.sum("t").alias("t"), F.count("*").alias("n")))
+def _keyed(source: str) -> Column:
+    """A null source is a source: joins use a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
+def _spot(doc_id: str, text: str) -> Column:
+    return F.xxhash64(doc_id, text)
+
+
+def quotas(sizes: DataFrame, budget: int | None = None, max_repeats: float = MAX_REPEATS, entropy: float = ENTROPY) -> tuple[DataFrame, int]:
+    """m_key, st, mix_weight, passes (whole), rest (tokens of the partial pass), quota of the sources with a quota; and the row count.
+
+    ``sizes``: m_key and t (tokens) of each document.
+    """
+    totals = checkpointed(sizes.groupBy("m_key").agg(F.sum("t").alias("t"), F.count("*").alias("n")))
     a = exponent(totals, budget, max_repeats, entropy)
-    row = totals.agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.max("t").alias("most"), F.sum(F.pow("t", F.lit(a))).alias("z")).first()
-    total, most, z = row["t"] or 0, row["most"] or 1, row["z"] or 1.0
+    row = totals.agg(F.sum("n").alias("n"), F.max("t").alias("most"), F.sum(F.pow("t", F.lit(a))).alias("z")).first()
+    most, z = row["most"] or 1, row["z"] or 1.0
     scaled = F.pow("t", F.lit(a))
     if budget is None:
         quota = F.greatest(F.round(scaled * F.lit(float(most) ** (1 - a))).cast("long"), F.col("t"))
     else:
         quota = F.round(scaled * F.lit(budget / z)).cast("long")
-    out = totals.withColumn("weight", scaled / F.lit(z)).withColumn("quota", quota)
-    return out.select("source", "t", "n", "weight", F.expr("quota div t").cast("int").alias("passes"), F.expr("quota % t").alias("rest"), "quota"), row["n"] or 0
+    out = totals.withColumn("mix_weight", scaled / F.lit(z)).withColumn("quota", quota).where("quota > 0")
+    return out.select("m_key", F.col("t").alias("st"), "mix_weight", F.expr("quota div t").cast("int").alias("passes"), F.expr("quota % t").alias("rest"), "quota"), row["n"] or 0
+
+
+def _passes(held: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """Each block's place in each pass: the columns of ``held`` and mix_pass and before (tokens of the pass before the block).
+
+    ``held``: a row for each block, with its tokens (bt), those of documents that the partial pass takes (fit), and its source's plan.
+    """
+    each = held.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.expr("passes - int(rest = 0)"))))
+    each = each.withColumn("b", F.expr("if(mix_pass < passes, bt, fit)")).withColumn("o", F.xxhash64("m_block", "mix_pass", F.lit(seed)))
+    bits = max(1, math.ceil(math.log2(max(2, blocks)) / 2))
+    each = checkpointed(each.withColumn("m_span", F.shiftright("o", 64 - bits)).drop("bt", "fit"))  # the leading bits keep the order
+    spans = each.groupBy("m_key", "mix_pass", "m_span").agg(F.sum("b").alias("sb"))
+    spans = spans.withColumn("ahead", F.sum("sb").over(Window.partitionBy("m_key", "mix_pass").orderBy("m_span")) - F.col("sb")).drop("sb")
+    inside = Window.partitionBy("m_key", "mix_pass", "m_span").orderBy("o", "m_block")
+    each = each.join(spans, ["m_key", "mix_pass", "m_span"]).withColumn("before", F.col("ahead") + F.sum("b").over(inside) - F.col("b"))
+    return checkpointed(each.where("mix_pass < passes or before < rest").drop("b", "o", "m_span", "ahead"))
 
 
 def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", budget: int | None = None,
@@ -94,28 +126,24 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
 
     Columns: those of ``docs`` (or ``columns``), then mix_tokens, mix_weight, mix_pass and mix_place.
     """
-    plan, rows = quotas(docs, source, text, budget, max_repeats, entropy)
-    plan = checkpointed(plan)
-    key, tok, spot, block, own = fresh(docs, "key", "tokens", "spot", "block", "id")
+    sizes = checkpointed(docs.select(_keyed(source).alias("m_key"), tokens(text).alias("t"), _spot(doc_id, text).alias("spot")))
+    plan, rows = quotas(sizes, budget, max_repeats, entropy)
+    plan = broadcast_if_small(checkpointed(plan))
     blocks = max(1, math.ceil(rows / BLOCK))
-    # A null source is a source: joins use a key that is never null, and the same key columns partition the
-    # join and the windows over its result, so rows are shuffled once.
-    keyed = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    slim = docs.select(keyed(source).alias("m_key"), tokens(text).alias("t"), F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias("m_block"))
-    held = slim.groupBy("m_key", "m_block").agg(F.sum("t").alias("bt"))
-    quota = plan.select(keyed("source").alias("m_key"), "passes", "rest", "quota", F.col("t").alias("st"), F.col("weight").alias("mix_weight"))
-    each = held.join(quota, "m_key").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.expr("passes - int(rest = 0)"))))
-    order = Window.partitionBy("m_key", "mix_pass").orderBy(F.xxhash64("m_block", "mix_pass", F.lit(seed)), "m_block")
-    each = each.withColumn("before", F.sum("bt").over(order) - F.col("bt")).where("mix_pass < passes or before < rest")
-    each = checkpointed(each.drop("bt"))
+    slim = sizes.select("m_key", "t", F.pmod("spot", F.lit(blocks)).alias("m_block")).join(plan, "m_key")
+    fixed = [F.first(c).alias(c) for c in plan.columns[1:]]
+    held = slim.groupBy("m_key", "m_block").agg(F.sum("t").alias("bt"), F.sum(F.expr("if(t <= rest, t, 0)")).alias("fit"), *fixed)
+    each = _passes(held, blocks, seed)
 
+    key, tok, spot, block, own = fresh(docs, "key", "tokens", "spot", "block", "id")
     kept = docs.columns if columns is None else list(columns)
     slots = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
-    full = docs.select(*slots, keyed(source).alias(key), tokens(text).alias(tok), F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias(block), F.xxhash64(doc_id, text).alias(spot), F.col(doc_id).alias(own))
-    joined = full.join(each, (F.col(key) == F.col("m_key")) & (F.col(block) == F.col("m_block")))
+    full = docs.select(*slots, _keyed(source).alias(key), tokens(text).alias(tok), _spot(doc_id, text).alias(spot), F.col(doc_id).alias(own)).withColumn(block, F.pmod(spot, F.lit(blocks)))
+    joined = full.join(each, (F.col(key) == F.col("m_key")) & (F.col(block) == F.col("m_block"))).where(f"mix_pass < passes or `{tok}` <= rest")
+    # The join and the window over its result share their key columns, so rows are shuffled once.
     inner = Window.partitionBy(key, block, "mix_pass").orderBy(F.xxhash64(F.col(spot), F.col("mix_pass"), F.lit(seed)), F.col(spot), F.col(own)).rowsBetween(Window.unboundedPreceding, 0)
     joined = joined.withColumn("ends", F.col("before") + F.sum(tok).over(inner)).where("mix_pass < passes or ends <= rest")
-    place = (F.col("mix_pass") * F.col("st") + F.col("ends") - F.col(tok)) / F.greatest("quota", F.lit(1))
+    place = (F.col("mix_pass") * F.col("st") + F.col("ends") - F.col(tok)) / F.col("quota")
     out = joined.select(*[F.col(f"c{i}").alias(f"k{i}") for i in range(len(kept))], F.col(tok).alias("mix_tokens"), "mix_weight", "mix_pass", place.alias("mix_place"))
     return out.toDF(*kept, "mix_tokens", "mix_weight", "mix_pass", "mix_place")
 
