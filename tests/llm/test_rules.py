@@ -106,3 +106,23 @@ def test_filter_keeps_columns_and_agrees_with_rate(spark):
 def test_empty_table(spark):
     assert rules.rate(documents(spark, [])).count() == 0
     assert rules.filter_documents(documents(spark, [])).count() == 0
+
+
+def test_thresholds_do_not_depend_on_partitions(spark):
+    df = documents(spark, corpus(random.Random(6))).withColumn("m", rules._measured("text"))
+    found = [sorted(map(tuple, rules.thresholds(df.repartition(n), "m").collect())) for n in (3, 8, 17)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+
+
+def test_quantiles_match_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 60) + " #" * rng.randrange(0, 9), rng.choice(["en", "de"]), rng.choice(["a", None])) for i in range(400)]
+    df = documents(spark, rows).withColumn("m", rules._measured("text"))
+    own = rules.fences(rules.sketches(df, "m"), ["lang", "source"]).collect()
+    assert sum(r.n for r in own) == 400
+    for r in own:
+        texts = [t for _, t, lang, source in rows if (lang, source) == (r.lang, r.source)]
+        share = sorted(t.count("#") / len(t.replace(" ", "")) for t in texts)
+        at = lambda x: int(share[-(-len(share) * x // 100) - 1] * 2048) / 2048
+        want = at(50) + 4 * max(at(75) - at(25), min(at(90) - at(50), 0.015), 0.01)
+        assert abs(r.f[0] - want) < 1e-9
