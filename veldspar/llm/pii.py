@@ -49,7 +49,7 @@ BASE = {
     "ip": (
         r"{t} rlike r'[0-9]\.[0-9]++\.[0-9]'",
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-        r"forall(split({m}, r'\.'), o -> char_length(ltrim('0', o)) <= 3 and cast(concat('0', right(o, 3)) as int) <= 255)",
+        r"forall(split({m}, r'\.'), o -> char_length(trim(leading '0' from o)) <= 3 and cast(concat('0', right(o, 3)) as int) <= 255)",
     ),
     "card": (
         "{t} rlike r'[0-9](?:[ -]?[0-9]){{12}}'",
