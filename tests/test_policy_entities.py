@@ -112,5 +112,5 @@ def test_sensitive_and_tagged(spark):
 def test_level_two(spark):
     out = entities.detect(frame(spark, ["a@b.co and 4111 1111 1111 1111"])).first().entities
     assert [e.entity_type for e in out][0] == "EMAIL" and all(x.start <= y.start for x, y in zip(out, out[1:]))
-    with pytest.raises(Exception, match="exceeds"):
-        entities.detect(frame(spark, ["x" * 50]), longest=10).collect()
+    refused = {len(r.text): r for r in entities.detect(frame(spark, ["see www.example.com " * 3, "see www.b.org"]), longest=20, error="error").collect()}
+    assert refused[60].entities == [] and "exceeds" in refused[60].error and refused[13].error is None and len(refused[13].entities) == 1

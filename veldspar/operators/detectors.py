@@ -244,14 +244,21 @@ def name_sql(t: str, groups: list[list[str]] | None = None, confidence: float =
 
 def location_sql(t: str, cities: list[tuple] | None = None, confidence: float = 0.9) -> str:
     """Cities of a gazetteer by any of their names."""
+    found = spans.matches(t, lexicon_pattern([n for c in cities or places.cities() for n in (c[0], *c[6])]))
+    looked = f"transform({found}, s -> transform(array({city_sql('s.m', cities)}), c -> named_struct('start', s.start, 'end', s.end, 'm', s.m, 'c', c))[0])"
+    facts = "map('country', s.c.country, 'country_name', s.c.country_name, 'region', s.c.region, 'canonical_name', s.c.name)"
+    return spans.detections(looked, "PII-4-LOCATION", "rule:locations_gazetteer", f"{confidence}D", country="s.c.country", metadata=facts)
+
+
+def city_sql(name: str, cities: list[tuple] | None = None) -> str:
+    """The city of a name in any case, as a struct, or null; a name of several cities belongs to the first as a city's own, else as an alias."""
     known: dict[str, tuple] = {}
     for city in cities or places.cities():
-        for name in (city[0], *city[6]):
-            known[name.lower()] = city
-    found = spans.matches(t, lexicon_pattern(list(known)))
-    look = lambda i: "map(" + ", ".join(f"{spans.quoted(k)}, {spans.quoted(c[i])}" for k, c in known.items()) + ")[lower(s.m)]"
-    facts = f"map('country', {look(1)}, 'country_name', {look(2)}, 'region', {look(3)}, 'canonical_name', {look(0)})"
-    return spans.detections(found, "PII-4-LOCATION", "rule:locations_gazetteer", f"{confidence}D", country=look(1), metadata=facts)
+        known[city[0].lower()] = city
+        for other in city[6]:
+            known.setdefault(other.lower(), city)
+    entry = lambda c: f"named_struct('name', {spans.quoted(c[0])}, 'country', {spans.quoted(c[1])}, 'country_name', {spans.quoted(c[2])}, 'region', {spans.quoted(c[3])}, 'lat', '{c[4]}', 'lng', '{c[5]}')"
+    return "map(" + ", ".join(f"{spans.quoted(k)}, {entry(c)}" for k, c in known.items()) + f")[lower({name})]"
 
 
 # ---- contact details (an addition: statutes map them, so they should be found) --------------------

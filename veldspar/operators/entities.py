@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.data import money, places
+from veldspar.data import money
 from veldspar.functions import spans
 from veldspar.functions.shared import fresh, settled
 from veldspar.operators import detectors
@@ -242,7 +242,7 @@ def adjudicate_sql(a: str, b: str) -> str:
 def split_names_sql(evidence: str) -> str:
     """Each person of two words or more is followed by first and last name, without titles."""
     titles = ", ".join(map(repr, TITLES))
-    parts = f"filter(split(trim(e.text), r'\\s+'), w -> not lower(rtrim('.', w)) in ({titles}))".replace("\\\\", "\\")
+    parts = f"filter(split(trim(e.text), r'\\s+'), w -> not lower(trim(trailing '.' from w)) in ({titles}))".replace("\\\\", "\\")
     one = lambda label, word, at: f"named_struct('text', {word}, 'label', '{label}', 'confidence', e.confidence * 0.95D, 'start', e.start + {at}, 'end', e.start + {at} + char_length({word}), 'detector_source', e.detector_source, 'country_hint', '', 'validator_status', '', 'metadata', cast(map('derived_from', 'person_split') as map<string,string>))"
     last_at = "(char_length(e.text) - locate(reverse(element_at(p, -1)), reverse(e.text)) - char_length(element_at(p, -1)) + 1)"
     return f"""flatten(transform({evidence}, e -> case when e.label <> 'person' or not contains(trim(e.text), ' ') then array(e) else transform(array({parts}), p ->
@@ -298,10 +298,11 @@ def sensitive(df: DataFrame, text: str = "text", into: str = "sensitive", jurisd
     return settled(df.withColumn(into, F.expr(spans.by_start(once))).drop(found, pii), into)
 
 
-def detect(df: DataFrame, text: str = "text", into: str = "entities", types: list[str] | None = None, include_pii: bool = True, cities: list[tuple] | None = None, longest: int = 500_000) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", into: str = "entities", types: list[str] | None = None, include_pii: bool = True, cities: list[tuple] | None = None, longest: int = 500_000, error: str | None = None) -> DataFrame:
     """Entities and personal data outside them, locations with coordinates, filtered, by start and end.
 
-    A text over ``longest`` characters is an error, as it would be in an interactive call.
+    A text over ``longest`` characters, which an interactive call would refuse, has no entities; the column
+    ``error``, if named, says so. The other rows are not affected.
     """
     (pii,) = fresh(df, "pii")
     df = extract(df, text, into, types)
@@ -309,15 +310,18 @@ def detect(df: DataFrame, text: str = "text", into: str = "entities", types: lis
         df = personal_data(df, text, pii)
         extra = f"transform(filter(`{pii}`, p -> not exists(`{into}`, o -> {spans.overlap('o', 'p')})), p -> named_struct('text', p.text, 'entity_type', p.pii_type, 'confidence', p.confidence, 'start', p.start, 'end', p.end, 'source', 'pii', 'metadata', if(p.country is null, cast(map() as map<string,string>), cast(map('country', p.country) as map<string,string>))))"
         df = df.withColumn(into, F.expr(f"concat(`{into}`, {extra})")).drop(pii)
-    known = {n.lower(): c for c in cities or places.cities() for n in (c[0], *c[6])}
-    look = lambda i: "map(" + ", ".join(f"{spans.quoted(k)}, {spans.quoted(str(c[i]))}" for k, c in known.items()) + ")[lower(e.text)]"
-    there = f"map_filter(map('lat', {look(4)}, 'lng', {look(5)}, 'country', {look(1)}), (k, v) -> v is not null)"
+    there = "map_filter(map('lat', c.lat, 'lng', c.lng, 'country', c.country), (k, v) -> v is not null)"
     names = ["text", "entity_type", "confidence", "start", "end", "source"]
-    df = df.withColumn(into, F.expr(f"transform(`{into}`, e -> named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, e.{n}' for n in names)}, 'metadata', if(e.entity_type = 'LOCATION', map_concat(map_filter(e.metadata, (k, v) -> not array_contains(map_keys({there}), k)), {there}), e.metadata)))"))
+    placed = f"transform(array({detectors.city_sql('e.text', cities)}), c -> map_concat(map_filter(e.metadata, (k, v) -> c is null or not k in ('lat', 'lng', 'country')), {there}))[0]"
+    df = df.withColumn(into, F.expr(f"transform(`{into}`, e -> named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, e.{n}' for n in names)}, 'metadata', if(e.entity_type = 'LOCATION', {placed}, e.metadata)))"))
     if types:
         df = df.withColumn(into, F.expr(f"filter(`{into}`, e -> e.entity_type in ({', '.join(map(spans.quoted, types))}))"))
-    too_long = f"if(char_length({spans.text_of(text)}) > {longest}, raise_error('a text exceeds {longest} characters'), `{into}`)"
-    return settled(df.withColumn(into, F.expr(spans.by_start(too_long))), into)
+    (refused,) = fresh(df, "refused")
+    df = df.withColumn(refused, F.expr(f"char_length({spans.text_of(text)}) > {longest}"))
+    df = df.withColumn(into, F.expr(spans.by_start(f"if(`{refused}`, slice(`{into}`, 1, 0), `{into}`)")))
+    if error:
+        df = df.withColumn(error, F.expr(f"if(`{refused}`, 'a text exceeds {longest} characters', cast(null as string))"))
+    return settled(df.drop(refused), into)
 
 
 # ---- proposals of a language model ----------------------------------------------------------------

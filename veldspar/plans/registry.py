@@ -6,7 +6,6 @@ query writes them into a text from the rows' own keys, so the SQL can say what m
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,32 +15,9 @@ from veldspar.functions import checks, similarity, spans
 from veldspar.functions.shared import spread, table
 from veldspar.operators import addresses, audit, components, detectors, entities, governance, jurisdictions, names_etl, places_lookup, policy, relate, requests, resolve, review
 from veldspar.plans.process import Options, outcomes, process
+from veldspar.plans.registered import oracle_sql, queries, query
 from veldspar.sources import files
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
 CONTACT = ("contact", "ip")
 _IP = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 _EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
@@ -562,3 +538,8 @@ def model_proposals(spark: SparkSession, d: str) -> DataFrame:
     """Answers of a language model with wrong offsets, repaired."""
     df = table(spark, d, "customer").selectExpr("c_custkey", "concat('Mrs Ann ', c_custkey, ' came') as t", """concat('{"entities": [{"text": "Ann ', c_custkey, '", "type": "person", "start": 90, "end": 99}, {"text": "Zed", "type": "person"}]}') as a""")
     return df.select("c_custkey", F.explode(F.expr(entities.proposals_sql("t", "a"))).alias("e")).select("c_custkey", "e.text", "e.entity_type", "e.start", "e.end")
+
+
+from veldspar.plans import detection_queries  # noqa: E402, F401  (registers its queries)
+
+__all__ = ["oracle_sql", "queries"]
