@@ -31,11 +31,28 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 # ---- documents: contact data, policy, redaction --------------------------------------------------
 
 
-@query()
+def _placed(pattern: str) -> str:
+    """SQL of the matches (doc_id, m, a) of a pattern in all documents: offsets are sums of the lengths of matches and of the pieces between them."""
+    lists = f"select doc_id, regexp_extract_all(text, '{pattern}') as ms, regexp_split_to_array(text, '{pattern}') as ps from documents"
+    each = f"select doc_id, generate_subscripts(ms, 1) as k, unnest(ms) as m, unnest(ps[:len(ms)]) as p from ({lists}) where len(ms) > 0"
+    return f"(select doc_id, m, cast(sum(length(p)) over (partition by doc_id order by k) + coalesce(sum(length(m)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as int) as a from ({each}))"
+
+
+_LUHN = "list_sum(list_transform(range(1, length(n) + 1), lambda i: case when (length(n) - i) % 2 = 0 then cast(n[i] as int) else (cast(n[i] as int) * 2) % 10 + (cast(n[i] as int) * 2) // 10 end)) % 10 = 0"
+_LAWS = "(select * from (values " + ", ".join(f"('{c}', '{m[0]}', '{m[2]}')" for c, m in policy.load("NDPA-2023").mappings.items()) + ") v(category, action, reference))"
+_FOUND = rf"""found as (select doc_id, m, a, 'PII-3-EMAIL' as category from {_placed(_EMAIL)}
+ union all select doc_id, m, a, 'PII-5-CARD' from (select *, regexp_replace(m, '[^0-9]', '', 'g') as n from {_placed(_CARD)}) where {_LUHN}
+ union all select doc_id, m, a, 'PII-8-IP_ADDRESS' from {_placed(_IP)} p join documents t using (doc_id) where list_bool_and(list_transform(string_split(m, '.'), lambda o: cast(o as int) <= 255 and (length(o) = 1 or o not like '0%')))
+  and not regexp_matches(substr(t.text, greatest(a - 16, 0) + 1, least(a, 16)), '(?i)\bv(?:ersion)?\b'))"""
+
+
+@query(rf"""with {_FOUND} select doc_id, sha256(text) as document_hash, 'det:' || a || ':' || (a + length(m)) as detection_id, category, action, reference as statute_reference, 'NDPA-2023' as statute_id,
+ case action when 'mask' then '[' || regexp_extract(category, '[^-]+$') || ']' when 'drop' then '' when 'tokenize' then regexp_extract(category, '[^-]+$') || '_#' when 'generalize' then regexp_replace(m, '[0-9]+$', '0/24') else m end as applied_value,
+ a as "start", cast(a + length(m) as int) as "end", cast(null as varchar) as superseded_by from found join {_LAWS} using (category) join documents using (doc_id)""")
 def pii_policy_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Emails, cards and addresses of networks in documents under a statute: one row an outcome."""
+    """Emails, cards and addresses of networks in documents under a statute: one row an outcome; the digits of a token (BLAKE2, which SQL lacks) are left out."""
     done = process(_documents(spark, d), Options(jurisdiction="NG", packages=CONTACT))
-    return outcomes(done, "doc_id")
+    return outcomes(done, "doc_id").drop("statute_version", "rationale").withColumn("applied_value", F.regexp_replace("applied_value", "_[0-9a-f]{8}$", "_#"))
 
 
 @query()
@@ -63,9 +80,6 @@ def email_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("s.text").alias("email"), F.expr(f"concat('[', {policy.label_sql('s.category')}, ']')").alias("masked"))
 
 
-_LUHN = "list_sum(list_transform(range(1, length(n) + 1), lambda i: case when (length(n) - i) % 2 = 0 then cast(n[i] as int) else (cast(n[i] as int) * 2) % 10 + (cast(n[i] as int) * 2) // 10 end)) % 10 = 0"
-
-
 @query(rf"with c as (select doc_id, unnest(regexp_extract_all(text, '{_CARD}')) as card from documents), n as (select doc_id, card, regexp_replace(card, '[^0-9]', '', 'g') as n from c) select doc_id, card, {_LUHN} as valid from n")
 def card_luhn(spark: SparkSession, d: str) -> DataFrame:
     found = _documents(spark, d).select("doc_id", F.explode(F.expr(spans.matches("coalesce(text, '')", _CARD))).alias("s"))
@@ -329,12 +343,6 @@ def cluster_collapse(spark: SparkSession, d: str) -> DataFrame:
     return resolve.collapse(clustered).select("cluster", "canonical_name", "sources", "confidence", F.size("aliases").alias("aliases"), F.expr("match_reasons[0]").alias("reason"))
 
 
-@query()
-def fuzzy_resolution(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = resolve.resolve(_entities(table(spark, d, "part"), "p_partkey", "p_type", "ORGANIZATION"))
-    return found.select("cluster", "canonical_name", "sources", F.size("aliases").alias("aliases"))
-
-
 @query()
 def linked_identities(spark: SparkSession, d: str) -> DataFrame:
     a = _entities(table(spark, d, "nation").withColumn("k", F.col("n_nationkey") + 0), "k", "n_name", "PERSON")
@@ -378,17 +386,6 @@ def overlap_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return relate.outside(wide.where("entity_type = 'PERSON'"), wide.where("entity_type = 'LOCATION' and doc_id % 3 = 0")).select("doc_id", "entity_id")
 
 
-@query()
-def entity_relationships(spark: SparkSession, d: str) -> DataFrame:
-    return relate.relationships(relate.gap_groups(_turns(spark, d))).select("doc_id", "source_id", "target_id", "relation", "confidence", "evidence")
-
-
-@query()
-def nearby_cities(spark: SparkSession, d: str) -> DataFrame:
-    points = files.gazetteer(spark).select(F.col("name").alias("id"), "lat", "lng")
-    return relate.nearby(points, points, 300).where("a < b")
-
-
 @query()
 def nearest_places(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "nation").select(F.initcap("n_name").alias("name")).unionByName(spark.createDataFrame([("Cape Town City",), ("Lagos",)], "name string"))
@@ -540,6 +537,6 @@ def model_proposals(spark: SparkSession, d: str) -> DataFrame:
     return df.select("c_custkey", F.explode(F.expr(entities.proposals_sql("t", "a"))).alias("e")).select("c_custkey", "e.text", "e.entity_type", "e.start", "e.end")
 
 
-from veldspar.plans import detection_queries  # noqa: E402, F401  (registers its queries)
+from veldspar.plans import detection_queries, record_queries  # noqa: E402, F401  (they register their queries)
 
 __all__ = ["oracle_sql", "queries"]
