@@ -37,24 +37,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder that the cluster names in spark.checkpoint.dir.
-
-    Only where a session names none (tests, one machine) is a folder of our own set.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's folder under spark.checkpoint.dir, which the cluster names; a folder of our own only on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veldspar-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veldspar-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, stem: str) -> str:
     """A path for a written table under the shared checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veldspar-"))
-    return f"{context.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
+    return f"{_shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
+def scratch_table(spark: SparkSession, stem: str) -> tuple[str, str]:
+    """Name and path of a catalog table under the shared checkpoint folder."""
+    return f"veldspar_{stem}_{uuid.uuid4().hex}", scratch(spark, stem)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what this session has checkpointed and written under the shared folder, and its catalog tables.
+
+    For callers to use once their results are consumed: a DataFrame made before needs what this deletes.
+    """
+    root = spark.sparkContext.getCheckpointDir()
+    for found in spark.catalog.listTables():
+        if found.name.startswith("veldspar_"):
+            spark.sql(f"drop table if exists `{found.name}`")
+    if root is not None:
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(folder):
+            files.delete(status.getPath(), True)
 
 
 #: Rows up to which a narrow dimension counts as small enough to broadcast (some 10 MB at 100 bytes a row).
@@ -74,4 +98,4 @@ def spread(df: DataFrame) -> DataFrame:
     For work that is heavy for each row. Inputs with enough splits are never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
