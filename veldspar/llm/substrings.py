@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.shared import scratch
+from veldspar.functions.shared import scratch, scratch_table
 from veldspar.llm import suffixes as sx
 
 LENGTH = 50
@@ -486,8 +485,7 @@ def deduplicate(docs: DataFrame, with_bytes: bool = True, block: int = BLOCK, sh
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     shards, buckets = max(1, math.ceil(total / shard)), max(1, math.ceil(total / bucket))
-    name = f"veldspar_blocks_{uuid.uuid4().hex}"
-    path = scratch(spark, "blocks")
+    name, path = scratch_table(spark, "blocks")
     packed = blocks(docs, buckets, block).write.bucketBy(buckets, "block").option("compression", "none")
     packed.option("path", path).saveAsTable(name)
     stored = spark.table(name)
