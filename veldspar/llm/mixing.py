@@ -112,7 +112,7 @@ def _passes(held: DataFrame, blocks: int, seed: int) -> DataFrame:
     each = held.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.expr("passes - int(rest = 0)"))))
     each = each.withColumn("b", F.expr("if(mix_pass < passes, bt, fit)")).withColumn("o", F.xxhash64("m_block", "mix_pass", F.lit(seed)))
     bits = max(1, math.ceil(math.log2(max(2, blocks)) / 2))
-    each = checkpointed(each.withColumn("m_span", F.shiftright("o", 64 - bits)).drop("bt", "fit"))  # the leading bits keep the order
+    each = each.withColumn("m_span", F.shiftright("o", 64 - bits)).drop("bt", "fit")  # the leading bits keep the order
     spans = each.groupBy("m_key", "mix_pass", "m_span").agg(F.sum("b").alias("sb"))
     spans = spans.withColumn("ahead", F.sum("sb").over(Window.partitionBy("m_key", "mix_pass").orderBy("m_span")) - F.col("sb")).drop("sb")
     inside = Window.partitionBy("m_key", "mix_pass", "m_span").orderBy("o", "m_block")
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     """
     sizes = checkpointed(docs.select(_keyed(source).alias("m_key"), tokens(text).alias("t"), _spot(doc_id, text).alias("spot")))
     plan, rows = quotas(sizes, budget, max_repeats, entropy)
-    plan = broadcast_if_small(checkpointed(plan))
+    plan = broadcast_if_small(plan)
     blocks = max(1, math.ceil(rows / BLOCK))
     slim = sizes.select("m_key", "t", F.pmod("spot", F.lit(blocks)).alias("m_block")).join(plan, "m_key")
     fixed = [F.first(c).alias(c) for c in plan.columns[1:]]
