@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -91,3 +92,50 @@ def test_odd_rows(spark):
     assert len(out) == len(ODD)
     assert all((r.pll, r.mean_pll) == (0.0, None) for r in out if not r.n_tokens) and all(r.mean_pll < 0 for r in out if r.n_tokens)
     assert masked.pseudo_likelihood(documents(spark, [])).count() == 0
+
+
+def slow_pll(words, known, counts, net):
+    """ln P of each word from both sides, by plain loops over the network's parameters."""
+    v, d = net.view, masked.DIGIT
+    ids = [0, 0, *(known.ids([w])[0] for w in words), 0, 0]
+    buckets = Counter()
+    for w, n in counts.items():
+        if w not in known.words:
+            buckets[masked.zlib.crc32(w) % masked.BUCKETS] += n
+    total = 0.0
+    for i, w in enumerate(words, 2):
+        x = [float(e) for at in (i - 2, i - 1, i + 1, i + 2) for e in v["e"][ids[at]]]
+        z = [math.tanh(sum(a * float(v["w"][j, k]) for j, a in enumerate(x)) + float(v["b"][k])) for k in range(masked.HIDDEN)]
+        out = [sum(a * float(v["o"][j, k]) for j, a in enumerate(z)) + float(v["c"][k]) for k in range(2 * d)]
+        hi, lo = divmod(int(ids[i]), d)
+        first, second = out[:d], [a + float(b) for a, b in zip(out[d:], v["d"][hi])]
+        total += sum(o[c] - math.log(sum(map(math.exp, o))) for o, c in ((first, hi), (second, lo)))
+        if w not in known.words:
+            total += math.log(counts.get(w, 1) / (buckets[masked.zlib.crc32(w) % masked.BUCKETS] + 1))
+    return total
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = Counter(w for r in docs.collect() for w in masked.split(r.text))
+    monkeypatch.setattr(masked, "COMMON", 300)  # so that words are listed, looked up and joined
+    words = masked.vocabulary(docs)
+    net = masked.train(docs, words)
+    probe = documents(spark, [(r.doc_id, (r.text or "")[:400]) for r in docs.where("doc_id % 20 = 0").collect()] + [(900, None), (901, "unseen zzqx words"), (902, "the")])
+    got = {r.doc_id: r.pll for r in masked.score(probe, words, net).collect()}
+    for r in probe.collect():
+        assert abs(got[r.doc_id] - slow_pll(masked.split(r.text), words, counts, net)) < 1e-3 * max(1, abs(got[r.doc_id]))
+
+
+def test_held_out_text_is_likelier_than_by_word_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 20000")
+    learned, held = docs.where("doc_id % 5 > 0"), docs.where("doc_id % 5 = 0")
+    counts = Counter(w for r in learned.collect() for w in masked.split(r.text))
+    total = sum(counts.values()) + len(counts) + 1
+    words = masked.vocabulary(learned.coalesce(2))
+    scored = masked.score(held, words, masked.train(learned.coalesce(2), words)).collect()
+    tokens = [w for r in held.collect() for w in masked.split(r.text)]
+    unigram = sum(math.log((counts[w] + 1) / total) for w in tokens) / len(tokens)
+    model = sum(r.pll for r in scored) / sum(r.n_tokens for r in scored)
+    print(f"held-out mean ln P: network {model:.3f}, word counts {unigram:.3f}")
+    assert model > unigram

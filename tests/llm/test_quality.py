@@ -65,3 +65,25 @@ def test_odd_rows(spark):
     assert [r.held_out for r in out if r.doc_id is None] == [False]
     assert all(r.score == 0.5 for r in quality.classify(docs, labels.where("false")).collect())
     assert quality.classify(documents(spark, []), labels).count() == 0
+
+
+def slow_score(text, trees):
+    """One tree after another, node by node."""
+    x = quality.statistics(text)
+    margin = trees.bias
+    for t in range(len(trees.leaf)):
+        node = 0
+        while node < trees.cut.shape[1]:
+            node = 2 * node + (2 if x[trees.feature[t, node]] > trees.cut[t, node] else 1)
+        margin += trees.leaf[t, node - trees.cut.shape[1]]
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_scores_match_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    some = documents(spark, [*((r.doc_id, r.text) for r in docs.where("doc_id % 9 = 0").collect()), *(r[:2] for r in ODD)])
+    trees = quality.fit(docs, labels)
+    texts = [(str(r.doc_id), r.text) for r in some.collect()]
+    got = sorted((str(r.doc_id), round(r.score, 9), r.predicted) for r in quality.score(some, trees).collect())
+    want = [(d, slow_score(t, trees)) for d, t in texts]
+    assert got == sorted((d, round(p, 9), int(p >= 0.5)) for d, p in want)

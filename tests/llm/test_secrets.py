@@ -89,3 +89,19 @@ def test_empty_and_clashing_columns(spark):
     assert secrets.report(documents(spark, [])).count() == 0
     df = documents(spark, [(1, "password=hunter2222")]).withColumns({"row": F.lit(1), "spans": F.lit(2), "hash": F.lit(3), "owner": F.lit(4)})
     assert secrets.report(df).collect()[0].n_assign == 1
+
+
+def test_candidates_meet_no_span_like_brute_force():
+    rng = random.Random(4)
+    parts = ["token=abcdef123456", "eyJ" + "a1" * 6 + ".eyJ" + "b2" * 6 + "." + "c3" * 6, "https://u:secret99@h.org", "ghp_" + "Zz9" * 8, "0" * 30, "plain", "sk_live_" + "x" * 20]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", "="]) for _ in range(40))
+        base = secrets.base_spans(text)
+        want = []
+        for kind, (signs, pattern) in secrets._WIDE.items():
+            for m in pattern.finditer(text):
+                if m[1] is not None and not any(a < m.end() and m.start() < b for _, a, b, _ in base + want):
+                    want.append((kind, m.start(), m.end(), m[1]))
+        assert secrets.wide_spans(text, base) == want
+    many = " ".join(f"https://u{i}:secret{i}@h.org" for i in range(40_000))
+    assert len(secrets.wide_spans(many, [])) == 40_000

@@ -20,7 +20,8 @@ match costs time in proportion to its length and no recursion, however long a te
 only on texts that have the character it needs.
 
 Defined results: null text is an empty text (no spans); repeated rows give repeated output rows; null
-doc_id stays null; an empty table gives an empty result; ``redact`` keeps every column and its order.
+doc_id stays null; an empty table gives an empty result; ``detect`` reads doc_id and text alone, so other
+columns may have any name; candidates of equal score go by place; very long texts are scanned whole; ``redact`` keeps every column and its order.
 """
 
 from __future__ import annotations
@@ -63,11 +64,12 @@ BASE = {
     ),
 }
 
-#: kind -> (test, pattern) of the wider generators. The pattern implies the test: every match contains one of the test's.
+#: kind -> (test, pattern) of the wider generators. Their bounds are those of the formats: an address has at most 64
+#: characters before the at and 127 labels of 63 after it, an octet three digits, a card 19, a phone number five groups. The pattern implies the test: every match contains one of the test's.
 WIDE = {
     "email": (
         "{t} rlike r'(?i)@|[(\\[{{] ?at ?[)\\]}}]| at [A-Z0-9-]{{1,63}}+ ?(?:[(\\[{{]| dot )'",
-        r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}+ ?(?:@|[(\[{] ?at ?[)\]}]| at (?=[A-Z0-9-]{1,63} ?(?:[(\[{]| dot ))) ?[A-Z0-9-]{1,63}+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]|(?<= )dot(?= )) ?[A-Z0-9-]{1,63}+){1,8}+",
+        r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}+ ?(?:@|[(\[{] ?at ?[)\]}]| at (?=[A-Z0-9-]{1,63} ?(?:[(\[{]| dot ))) ?[A-Z0-9-]{1,63}+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]|(?<= )dot(?= )) ?[A-Z0-9-]{1,63}+){1,126}+",
     ),
     "ip": (
         r"{t} rlike r'[0-9] ?[(\[{{]?(?:\.|dot)[)\]}}]? ?[0-9]'",

@@ -18,7 +18,8 @@ copy is a handful of rows for each task. The counts are checkpointed before they
 join inputs are plain scans and adaptive execution can split the hot hash. Rows without a candidate
 are never shuffled.
 
-Defined results: null text is an empty text; null repository or owner is one of its own; repeated rows
+Defined results: null text is an empty text; a very long text is scanned whole, in time in proportion to
+its length and, for each span, the logarithm of their number; null repository or owner is one of its own; repeated rows
 are judged one by one and count once for their owner; null doc_id stays null; extra columns are
 ignored; an empty table gives an empty result.
 """
@@ -28,8 +29,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,16 +79,28 @@ def _place(span: tuple) -> tuple:
 
 
 def wide_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Further candidates that overlap no base span, nor each other."""
+    """Further candidates that overlap no base span, nor those of an earlier kind; matches of one kind never overlap."""
     out: list[tuple[str, int, int, str]] = []
     for kind, (signs, pattern) in _WIDE.items():
         if any(s in text for s in signs):
-            for m in pattern.finditer(text):
-                if m[1] is not None and not any(a < m.end() and m.start() < b for _, a, b, _ in [*base, *out]):
-                    out.append((kind, m.start(), m.end(), m[1]))
+            taken = _Taken([*base, *out])
+            out += [(kind, m.start(), m.end(), m[1]) for m in pattern.finditer(text) if m[1] is not None and not taken.meets(m.start(), m.end())]
     return out
 
 
+class _Taken:
+    """Spans by start, with the furthest end so far: one binary search tells whether any of them meets another."""
+
+    def __init__(self, spans: list[tuple[str, int, int, str]]) -> None:
+        ordered = sorted((a, b) for _, a, b, _ in spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(accumulate((b for _, b in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at > 0 and self.ends[at - 1] > start
+
+
 def looks_live(value: str) -> bool:
     """Random-looking: long and even enough, no filler word, not one kind of character only."""
     if len(value) < LENGTH or _FILLER.search(value):
