@@ -88,3 +88,25 @@ def test_block_ids_fall_into_their_bucket(spark):
             ids = [next(numbers) for _ in range(4)]
             df = spark.createDataFrame([(i,) for i in ids], "b long")
             assert {r[0] for r in df.select(F.pmod(F.hash("b"), F.lit(buckets))).collect()} == {task % buckets}
+
+
+def test_a_hot_anchor_far_larger_than_memory_spills_and_is_exact(monkeypatch):
+    """One anchor in ten thousand different stretches: arrays and queues go to disk, the result is that of brute force."""
+    rng = random.Random(6)
+    core = b"the anchor that every stretch of this shard shares"
+    made = {bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 30))) + core + bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 30))) for _ in range(10_000)}
+    stretches = sorted(made)
+    least = np.array([rng.randint(0, 500) for _ in stretches])
+    spilled, close = [], ss.sx.Queue.close
+    monkeypatch.setattr(ss.sx.Queue, "close", lambda q: (spilled.append(q.spilled), close(q)))
+    monkeypatch.setattr(ss, "_anchors_at", lambda text, begins, length: np.zeros(len(begins), np.uint64))
+    monkeypatch.setattr(ss, "PART", 1000)
+    monkeypatch.setattr(ss.sx, "IN_MEMORY", 1 << 30)
+    offset, best = ss.smallest_holder(stretches, least, memory=1 << 14)
+    assert sum(map(len, stretches)) > 40 * (1 << 14) and sum(spilled) > sum(map(len, stretches))
+    low = {}
+    for s, d in zip(stretches, least.tolist()):
+        for i in range(len(s) - 49):
+            low[s[i : i + 50]] = min(low.get(s[i : i + 50], 1 << 62), d)
+    for n, s in enumerate(stretches):
+        assert best[offset[n] : offset[n + 1]].tolist() == [low[s[i : i + 50]] for i in range(len(s) - 49)]

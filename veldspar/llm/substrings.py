@@ -55,7 +55,9 @@ SHARD, BUCKET = 10 << 20, 48 << 20
 #: Bits for the places within a piece of text that is hashed at once (a piece stays in the processor's cache).
 _PLACE = 17
 #: Bytes of stretches whose suffixes are sorted at once, unless one anchor alone has more.
-SORTED = 2 << 20
+SORTED = 8 << 20
+#: Stretches that are laid out at a time.
+PART = 1 << 16
 _LAST = (1 << 63) - 1
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -392,17 +394,18 @@ def _sorted(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, counts: np.
     spaced = sizes[chosen] + 1
     starts = np.cumsum(spaced) - spaced
     total = int(spaced.sum())
-    inside = np.ones(total, bool)
-    inside[starts + sizes[chosen]] = False
-    source = np.repeat(begins[chosen] - starts, spaced)
-    source += np.arange(total)
-    raw = text[source[inside]]
-    joined = np.zeros(total, np.uint8 if not len(raw) or raw.max() < 255 else np.uint16)
-    joined[inside] = raw.astype(joined.dtype) + 1
-    del source, raw, inside
+    joined = sx.array(total, np.uint8 if not len(text) or text.max() < 255 else np.uint16, memory)
     # where in ``best`` each place counts, -1 where fewer than ``length`` bytes follow
-    slot = np.repeat(offset[chosen] - starts, spaced) + np.arange(total)
-    slot[np.arange(total) - np.repeat(starts, spaced) >= np.repeat(counts[chosen], spaced)] = -1
+    slot = sx.array(total, np.int32 if len(best) < 1 << 31 else np.int64, memory)
+    for a in range(0, len(chosen), PART):
+        some, at = chosen[a : a + PART], starts[a : a + PART] - starts[a]
+        size, end = spaced[a : a + PART], int(starts[a] + spaced[a : a + PART].sum())
+        within = np.arange(end - starts[a]) - np.repeat(at, size)
+        inside = within < np.repeat(size - 1, size)
+        joined[starts[a] : end][inside] = text[(np.repeat(begins[some], size) + within)[inside]].astype(joined.dtype) + 1
+        place = np.repeat(offset[some], size) + within
+        place[within >= np.repeat(counts[some], size)] = -1
+        slot[starts[a] : end] = place
     low, members = _LAST, []
 
     def close() -> None:

@@ -27,7 +27,7 @@ import numpy as np
 
 #: Names that are sorted by doubling in memory.
 IN_MEMORY = 1 << 22
-MEMORY = 64 << 20
+MEMORY = 8 << 20
 
 
 def spill_folder() -> str | None:
@@ -36,6 +36,14 @@ def spill_folder() -> str | None:
     return folders[os.getpid() % len(folders)] if folders else None
 
 
+def array(n: int, dtype: type, memory: int = MEMORY) -> np.ndarray:
+    """Zeros; beyond ``memory`` bytes a file of the spill folder, of which only the pages in use stay in memory."""
+    if n * np.dtype(dtype).itemsize <= memory:
+        return np.zeros(n, dtype)
+    with tempfile.TemporaryFile(prefix="veldspar-", dir=spill_folder()) as file:  # unlinked; the mapping keeps it
+        return np.memmap(file, dtype, "w+", shape=(n,))
+
+
 class Queue:
     """Priority queue of (position, value) tuples with monotone keys; disk-backed beyond ``memory`` bytes."""
 
