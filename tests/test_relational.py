@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from veldspar.functions import shared
 from veldspar.operators import audit, governance, names_etl, places_lookup, relate, review
 from veldspar.sources import files
 
@@ -144,3 +145,22 @@ def test_places(spark):
     assert found.where("i = 1").first().status == "no jurisdiction"
     assert places_lookup.compliance(places_lookup.redact(rows, ["note"])).first().policy == "uk_gdpr_v0_hardcoded"
     assert places_lookup.canonical_addresses(spark.createDataFrame([("x",)], "raw string")).first().match_weight == 0.0
+
+
+def test_self_pairs_of_a_hot_block(spark):
+    rows = [("hot", i, f"t{i % 7}") for i in range(40)] + [("cold", 100 + i, "t") for i in range(3)] + [(None, 200, "t"), (None, 201, "t")]
+    df = spark.createDataFrame(rows, "block string, id long, text string")
+    got = sorted((r.block, r.a.id, r.b.id) for r in shared.self_pairs(df, ["block"], "id", chunk=6).collect())
+    want = sorted((x, i, j) for x, i, _ in rows for y, j, _ in rows if x == y and x is not None and i < j)
+    assert got == want
+    assert shared.self_pairs(df.limit(0), ["block"], "id").count() == 0
+
+
+def test_locations_across_cells(spark):
+    rows = [(1, k, t, e, 0.9, at, at + 1, m) for k, (t, e, at, m) in enumerate([
+        ("Ada", "PERSON", 199, None), ("Lagos", "LOCATION", 200, None), ("Lagos", "LOCATION", 399, None), ("Lagos", "LOCATION", 400, {"patient_id": "7"}),
+        ("Ben", "PERSON", 5000, {"patient_id": "7"}), ("Cy", "PERSON", 601, {"patient_id": ""}), ("Kano", "LOCATION", 802, {"patient_id": ""})])]
+    df = spark.createDataFrame(rows, ENT)
+    places = spark.createDataFrame([("Lagos", "NG", 0.8), ("Kano", "NG", 0.8)], "name string, country string, confidence double")
+    got = sorted((r.a, r.b) for r in relate.located(df, places).collect())
+    assert got == [(0, "location_Lagos_NG"), (4, "location_Lagos_NG")]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:
@@ -28,8 +29,6 @@ def settled(df: DataFrame, *columns: str) -> DataFrame:
     whole chain of expressions that makes the column once more, and beneath a repartition at that.
     The optimizer knows the range of ``rand`` and folds comparisons with it, so ``randn`` it is.
     """
-    from pyspark.sql import functions as F
-
     return df.withColumns({c: F.when(F.randn(0) < 1e9, F.col(f"`{c}`")) for c in columns})
 
 
@@ -87,8 +86,6 @@ SMALL_ROWS = 100_000
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` (checkpointed or written, with narrow rows) hinted for broadcast if a count proves it small; else as it is."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -99,3 +96,23 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def self_pairs(rows: DataFrame, block: list[str], order: str, chunk: int = 4096) -> DataFrame:
+    """Every pair of rows of a block once: the block's columns, ``a`` and ``b`` (structs of the other columns), a.order < b.order.
+
+    Blocks of more than ``chunk`` rows are dealt into chunks by a hash of ``order`` and each pair of chunks
+    is a join key of its own, so a hot block is spread over tasks of at most two chunks, and a row is copied
+    once for each chunk of its block. Null block keys and null orders meet nothing.
+    """
+    rest = [c for c in rows.columns if c not in block]
+    many = rows.groupBy(*block).count().where(F.col("count") > chunk).select(*block, F.ceil(F.col("count") / chunk).cast("int").alias("_chunks"))
+    dealt = rows.join(many, block, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(order), F.col("_chunks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    key = [*block, "_low", "_high"]
+    dealt = dealt.select(*block, F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "_own", F.struct(*rest).alias("_row"))
+    left = dealt.select(*key, F.col("_own").alias("_own_a"), F.col("_row").alias("a"))
+    right = dealt.select(*key, F.col("_own").alias("_own_b"), F.col("_row").alias("b"))
+    met = left.join(right, key).where((F.col("_low") == F.col("_high")) | (F.col("_own_a") != F.col("_own_b")))
+    return met.where(F.col(f"a.{order}") < F.col(f"b.{order}")).select(*block, "a", "b")

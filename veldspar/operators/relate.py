@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.functions.shared import self_pairs
+
 ANCHORS = ("PERSON", "ORGANIZATION")
 RELATIONS = {"NATIONAL_ID": "HAS_ID", "PHONE": "HAS_PHONE", "EMAIL": "HAS_EMAIL", "LOCATION": "LOCATED_AT", "DATE": "HAS_DATE", "MONEY": "HAS_AMOUNT", "ADDRESS": "LIVES_AT"}
 GAP, CLOSE, NEAR = 150, 30, 200
@@ -57,19 +59,23 @@ def relationships(grouped: DataFrame, group: str = "grp") -> DataFrame:
 
 
 def cooccurrences(entities: DataFrame) -> DataFrame:
-    """Pairs of a document's entities that differ in text or type."""
-    a, b = entities.alias("a"), entities.alias("b")
-    met = a.join(b, F.col("a.doc_id") == F.col("b.doc_id")).where("a.entity_id < b.entity_id and (a.text <> b.text or a.entity_type <> b.entity_type)")
-    return met.select(F.col("a.doc_id").alias("doc_id"), F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"), F.lit("CO_MENTIONED").alias("relation"), F.lit(0.5).alias("weight"))
+    """Pairs of a document's entities that differ in text or type; those of a very long document are dealt over many tasks."""
+    met = self_pairs(entities.select("doc_id", "entity_id", "text", "entity_type"), ["doc_id"], "entity_id").where("a.text <> b.text or a.entity_type <> b.entity_type")
+    return met.select("doc_id", F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"), F.lit("CO_MENTIONED").alias("relation"), F.lit(0.5).alias("weight"))
 
 
 def located(entities: DataFrame, locations: DataFrame, near: int = NEAR) -> DataFrame:
     """Persons and organisations to the locations (name, country, confidence) mentioned near them or under the same patient_id."""
     pid = lambda c: F.col(c)["patient_id"]
-    who = entities.where(F.col("entity_type").isin(*ANCHORS)).alias("p")
-    where = entities.where("entity_type = 'LOCATION'").join(locations.select(F.col("name").alias("_name"), F.col("country").alias("_country"), F.col("confidence").alias("_sure")), F.col("text") == F.col("_name")).alias("l")
-    met = who.join(where, F.col("p.doc_id") == F.col("l.doc_id")).where((F.abs(F.col("p.start") - F.col("l.start")) <= near) | ((pid("p.metadata") != "") & (pid("p.metadata") == pid("l.metadata"))))
-    return met.select(F.col("p.doc_id").alias("doc_id"), F.col("p.entity_id").alias("a"), F.concat(F.lit("location_"), F.col("l._name"), F.lit("_"), F.col("l._country")).alias("b"), F.lit("LOCATED_AT").alias("relation"), (F.col("l._sure") * 0.5).alias("weight")).distinct()
+    who = entities.where(F.col("entity_type").isin(*ANCHORS))
+    where = entities.where("entity_type = 'LOCATION'").join(locations.select(F.col("name").alias("_name"), F.col("country").alias("_country"), F.col("confidence").alias("_sure")), F.col("text") == F.col("_name"))
+    # near: cells as wide as the distance, each location in its own and both neighbouring ones; same patient: the id is the key
+    cell = F.floor(F.col("start") / F.lit(max(near, 1)))
+    around = where.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("l")
+    close = who.withColumn("_cell", cell).alias("p").join(around, [F.col("p.doc_id") == F.col("l.doc_id"), F.col("p._cell") == F.col("l._cell")]).where(F.abs(F.col("p.start") - F.col("l.start")) <= near)
+    shared = who.where(pid("metadata") != "").alias("p").join(where.alias("l"), [F.col("p.doc_id") == F.col("l.doc_id"), pid("p.metadata") == pid("l.metadata")])
+    edges = [met.select(F.col("p.doc_id").alias("doc_id"), F.col("p.entity_id").alias("a"), F.concat(F.lit("location_"), F.col("l._name"), F.lit("_"), F.col("l._country")).alias("b"), F.lit("LOCATED_AT").alias("relation"), (F.col("l._sure") * 0.5).alias("weight")) for met in (close, shared)]
+    return edges[0].unionByName(edges[1]).distinct()
 
 
 def graph(entities: DataFrame, clustered: DataFrame | None = None, identities: DataFrame | None = None, locations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,8 @@ metadata (map, may hold patient_id, country, id_type, date_type). Pairs come fro
 blocking key, never from all pairs of a type; clusters from ``components.connected_components``.
 
 Scale. Name blocks are one first letter wide, which grows with the square of the block; pass a finer
-``key`` (a column expression) where letters are few. Identifier blocks are whole values: all equal, so
+``key`` (a column expression) where letters are few. The pairs of a hot letter are dealt over many tasks
+(``shared.self_pairs``). Identifier blocks are whole values: all equal, so
 each member only links to the block's smallest (no pairs at all). Repeated texts of a block are folded
 to one representative before names are compared, so copies cost nothing.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veldspar.data import names as data
 from veldspar.functions import checks, similarity
-from veldspar.functions.shared import checkpointed
+from veldspar.functions.shared import checkpointed, self_pairs
 from veldspar.operators.components import connected_components
 
 EXACT = ("PHONE", "NATIONAL_ID", "EMAIL")
@@ -53,10 +54,8 @@ def _equal_keys(keyed: DataFrame) -> DataFrame:
 
 def blocked_pairs(keyed: DataFrame, value: str = "text") -> DataFrame:
     """Pairs of distinct texts of a block, the smaller id first: entity_type, a, b, text_a, text_b."""
-    reps = _representatives(keyed)
-    left = reps.select("entity_type", "key", F.col("rep").alias("a"), F.col(value).alias("text_a"))
-    right = reps.select("entity_type", "key", F.col("rep").alias("b"), F.col(value).alias("text_b"))
-    return left.join(right, ["entity_type", "key"]).where("a < b").drop("key")
+    reps = _representatives(keyed).select("entity_type", "key", "rep", F.col(value).alias("value"))
+    return self_pairs(reps, ["entity_type", "key"], "rep").select("entity_type", F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.value").alias("text_a"), F.col("b.value").alias("text_b"))
 
 
 def fuzzy_links(entities: DataFrame, groups: list[list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
