@@ -97,3 +97,22 @@ def test_hot_buckets_are_cut_without_losing_links(spark, monkeypatch):
     df = spark.createDataFrame([(i, c - (1 << 64) if c >> 63 else c) for i, c in rows], "doc_id long, fp long")
     got = {r.doc_id: r.component_id for r in simhash.link(df).collect()}
     assert [got[i] for i, _ in rows] == slow_classes(rows)
+
+
+def test_longer_keys_lose_no_link(spark):
+    rng = random.Random(5)
+    codes = []
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        codes += [base] + [base ^ sum(1 << b for b in rng.sample(range(64), rng.choice([2, 4, 5, 6]))) for _ in range(4)]
+    rows = [(c - (1 << 64) if c >> 63 else c, i) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "fp long, node long")
+    want = slow_classes([(i, c) for i, c in enumerate(codes)])
+    for equal in (2, 3, 4, 6):
+        root = list(range(len(codes)))
+        edges = simhash.links(df, equal=equal).collect()
+        for _ in range(len(codes)):
+            for e in edges:
+                root[e.a] = root[e.b] = min(root[e.a], root[e.b])
+        assert root == want
+    assert [simhash._equal(n, 4) for n in (0, 10**8, 10**9, 10**10)] == [2, 2, 3, 4]

@@ -3,9 +3,12 @@
 ``fingerprints``: words of the ASCII-lower-cased text, shingles of ``width`` words, XXH64 of each,
 bitwise majority. ``link``: classes of fingerprints within ``radius`` bits, transitively.
 
-Search. A 64-bit code is cut into ``radius + 2`` segments; codes within ``radius`` bits agree on two
-segments at least, so every pair meets in one of C(segments, 2) buckets (an exact blocking: distances
+Search. A 64-bit code is cut into ``radius + n`` segments; codes within ``radius`` bits agree on n
+segments at least, so every pair meets in one of C(segments, n) buckets (an exact blocking: distances
 to a pivot concentrate around 32, so pivots alone would leave almost every pair of a large table).
+n is the least from 2 on for which a bucket of evenly spread codes holds at most ``FILL``: with 4 bits
+a key has some 21 bits and 15 buckets, 27 and 35 beyond 134 million codes, 32 and 70 beyond 8 billion.
+The result is the same for every n; only the number of comparisons changes.
 Within a bucket each code has a row of Hamming distances to ``PIVOTS`` fixed references. Rows are
 sorted by the first distance; a pair is discarded as soon as the largest coordinate difference exceeds
 ``radius`` (triangle inequality, so nothing is lost) and survivors are verified by the bit count.
@@ -17,6 +20,7 @@ Tasks emit a spanning forest of the links they find, never all pairs.
 Defined results: null text is an empty text; no word gives fingerprint zero, linked like any other;
 repeated rows give repeated output rows; a null doc_id gets a fingerprint and its class's smallest
 doc_id, null if the class has none; extra columns are ignored; an empty table gives an empty result.
+Ids from 2**63 - 2**40 on stand for classes without a doc_id and are not accepted as true ones.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from veldspar.operators.components import connected_components
 BITS = 64
 PIVOTS = 16
 CHUNK = 2048
+FILL = 64
 #: Groups up to this size are compared together, larger ones one by one.
 SMALL = 24
 _UNNAMED = (1 << 63) - 1
@@ -94,9 +99,13 @@ def link(prints: DataFrame, radius: int = 4) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def links(codes: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links between distinct codes (fp, node)."""
-    keyed = codes.select("fp", "node", F.explode(_buckets("fp", radius)).alias("bucket"))
+def links(codes: DataFrame, radius: int = 4, equal: int | None = None) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the links between distinct codes (fp, node).
+
+    ``equal``: segments that make a key, by default as many as the number of codes asks for.
+    """
+    equal = equal or _equal(codes.count(), radius)
+    keyed = codes.select("fp", "node", F.explode(_buckets("fp", radius, equal)).alias("bucket"))
     hot = checkpointed(
         keyed.groupBy("bucket").count().where(F.col("count") > CHUNK)
         .select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
@@ -116,15 +125,23 @@ def links(codes: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.select("grp", "fp", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def _buckets(fp: str, radius: int):
-    """One bucket id for each pair of segments: the pair's number and the segments' bits."""
-    cuts = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
+def _cuts(radius: int, equal: int) -> list[int]:
+    return [round(i * BITS / (radius + equal)) for i in range(radius + equal + 1)]
+
+
+def _equal(codes: int, radius: int) -> int:
+    """The least number of equal segments whose keys leave at most ``FILL`` evenly spread codes in a bucket, 2 to 6."""
+    for equal in range(2, 6):
+        if codes >> equal * BITS // (radius + equal) <= FILL:
+            return equal
+    return 6
+
+
+def _buckets(fp: str, radius: int, equal: int = 2):
+    """One bucket id for each choice of ``equal`` segments: a hash of the choice's number and the segments' bits (a clash only adds comparisons)."""
+    cuts = _cuts(radius, equal)
     pieces = [F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    sizes = [hi - lo for lo, hi in zip(cuts, cuts[1:])]
-    out = []
-    for number, (i, j) in enumerate(combinations(range(radius + 2), 2)):
-        out.append(F.lit(number << 50) + F.shiftleft(pieces[i], sizes[j]) + pieces[j])
-    return F.array(*out)
+    return F.array(*[F.xxhash64(F.lit(number), *chosen) for number, chosen in enumerate(combinations(pieces, equal))])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
