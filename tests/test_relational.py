@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +164,21 @@ def test_locations_across_cells(spark):
     places = spark.createDataFrame([("Lagos", "NG", 0.8), ("Kano", "NG", 0.8)], "name string, country string, confidence double")
     got = sorted((r.a, r.b) for r in relate.located(df, places).collect())
     assert got == [(0, "location_Lagos_NG"), (4, "location_Lagos_NG")]
+
+
+def test_sessions_of_fractional_times(spark, tmp_path):
+    import duckdb
+
+    from veldspar.plans import registry
+
+    at = lambda micros: datetime.fromtimestamp(1_704_067_200 + micros // 10**6, UTC).replace(tzinfo=None, microsecond=micros % 10**6)
+    gap = 21600 * 10**6
+    # gaps that rounding lengthens, shortens, leaves; halves; an event whose number is smaller than that of the one before in its second
+    times = {1: [400_000, gap + 600_000], 2: [600_000, gap + 1_400_000], 3: [0, gap + 499_999], 4: [0, gap + 500_000], 5: [500_000, gap + 1_500_000], 6: [0, 2 * gap, 2 * gap + 100_000]}
+    rows = [(100 * u - i, at(t), u) for u, ts in times.items() for i, t in enumerate(ts)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["gap_sessions"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.execute(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(db.execute(registry.oracle_sql()["gap_sessions"]).fetchall())
+    assert [g for u, _, g in got if u < 6] == [1, 0, 0, 0, 0, 0, 0, 0, 1, 0]

@@ -356,9 +356,11 @@ _SESSIONS = "select user_id as doc_id, event_id as entity_id, cast(epoch(ts) as
 
 @query(f"select doc_id, entity_id, cast(sum(case when s - p > 21600 then 1 else 0 end) over (partition by doc_id order by s, entity_id rows unbounded preceding) as bigint) as grp from ({_SESSIONS})")
 def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
-    at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("int")
-    df = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("entity_id"), at.alias("start"), at.alias("end"))
-    return relate.gap_groups(df, 21600).select("doc_id", "entity_id", "grp")
+    """Runs of a user's events, six hours apart at most; times count to the nearest second, halves to the even one."""
+    exact = F.unix_micros(F.col("ts").cast("timestamp"))
+    at = F.rint(exact / 1_000_000).cast("int")
+    df = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("entity_id"), at.alias("start"), at.alias("end"), exact.alias("ts"))
+    return relate.gap_groups(df, 21600, exact="ts").select("doc_id", "entity_id", "grp")
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
