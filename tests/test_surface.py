@@ -57,6 +57,33 @@ def test_selective_disclosure():
     assert crypto.issue({"a": 1}, SEED) == crypto.issue({"a": 1}, SEED)
 
 
+def test_multiples_of_points():
+    """Out of tables as by doublings; a batch by one key costs few additions."""
+    numbers = [0, 1, 2, 255, 256, 2**252, crypto._L - 1, crypto._L, 2**255 - 1]
+    for multiples in (crypto._Multiples(crypto._BASE, 8), crypto._Multiples(crypto._times(7, crypto._BASE))):
+        assert [crypto._pack(multiples(n)) for n in numbers] == [crypto._pack(crypto._times(n, multiples.point)) for n in numbers]
+    token = crypto.issue({"name": "Ann"}, SEED, hide=["name"])
+    key, added = crypto.public_key(SEED), []
+    for _ in range(3):
+        assert crypto.check_credential(token, key)["valid"]
+    plain = crypto._add
+    try:
+        crypto._add = lambda p, q: added.append(1) or plain(p, q)
+        assert crypto.issue({"name": "Ann"}, SEED, hide=["name"]) == token and crypto.check_credential(token, key)["valid"]
+    finally:
+        crypto._add = plain
+    assert len(added) < 10
+
+
+def test_verification_refuses_other_spellings():
+    """A signature's point above the modulus, off the curve or with the wrong sign, and keys that are no points."""
+    key, good = crypto.public_key(SEED), crypto.sign_bytes(SEED, b"m")
+    assert crypto.verify_bytes(key, b"m", good) and not crypto.verify_bytes(key, b"n", good)
+    for point in (b"\xff" * 32, (2).to_bytes(32, "little"), good[:31] + bytes([good[31] ^ 128])):
+        assert not crypto.verify_bytes(key, b"m", point + good[32:])
+    assert not crypto.verify_bytes(b"\xff" * 32, b"m", good) and not crypto.verify_bytes(key, b"m", good[:32] + (int.from_bytes(good[32:], "little") + crypto._L).to_bytes(32, "little"))
+
+
 def docs(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 

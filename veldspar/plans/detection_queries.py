@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.data import identifiers, names, phones, places
 from veldspar.functions import checks, crypto, similarity
-from veldspar.functions.shared import table
+from veldspar.functions.shared import spread, table
 from veldspar.operators import detectors, entities, policy, requests
 from veldspar.plans.registered import query
 
@@ -349,12 +350,20 @@ def selective_disclosure(spark: SparkSession, d: str) -> DataFrame:
     """Keys as did:key and back; credentials whose hidden claims are seen only if disclosed."""
     key = crypto.public_key(_SEED)
 
-    def claims(k: str, names_: list[str]) -> str:
-        token = crypto.issue({"country": "NG", "name": f"Ann {k}"}, _SEED, hide=["name"])
+    def row(k: str) -> dict:
+        own = crypto.public_key(k.encode().ljust(32, b"."))
+        did, token = crypto.did_of(own), crypto.issue({"country": "NG", "name": f"Ann {k}"}, _SEED, hide=["name"])
+        return {"did": did, "same": crypto.key_of(did) == own, "shown": claims(token, ["name"]), "hidden": claims(token, [])}
+
+    def claims(token: str, names_: list[str]) -> str:
         found = crypto.check_credential(crypto.present(token, names_), key)
         return json.dumps({n: v for n, v in found["claims"].items() if n in ("country", "name")}, sort_keys=True, separators=(",", ":"))
 
-    df = _keys(spark, d, "supplier", "s_suppkey").select("k", F.col("k").cast("string").alias("s"))
-    did = similarity.mapped(lambda s: crypto.did_of(crypto.public_key(s.encode().ljust(32, b"."))))(F.col("s"))
-    back = similarity.mapped(lambda s: str(crypto.key_of(crypto.did_of(crypto.public_key(s.encode().ljust(32, b".")))) == crypto.public_key(s.encode().ljust(32, b"."))).lower())(F.col("s"))
-    return df.select("k", F.left(did, F.lit(12)).alias("head"), back.cast("boolean").alias("same"), similarity.mapped(lambda s: claims(s, ["name"]))(F.col("s")).alias("shown"), similarity.mapped(lambda s: claims(s, []))(F.col("s")).alias("hidden"))
+    kind = pa.struct([("did", pa.string()), ("same", pa.bool_()), ("shown", pa.string()), ("hidden", pa.string())])
+
+    @F.arrow_udf("struct<did:string,same:boolean,shown:string,hidden:string>")
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array([None if k is None else row(k) for k in keys.to_pylist()], kind)
+
+    df = spread(_keys(spark, d, "supplier", "s_suppkey")).select("k", run.asNondeterministic()(F.col("k").cast("string")).alias("r"))
+    return df.select("k", F.left("r.did", F.lit(12)).alias("head"), "r.same", "r.shown", "r.hidden")
