@@ -1,6 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from veldspar.data import identifiers
+from veldspar.functions import spans
 from veldspar.operators import addresses, detectors
 
 
@@ -111,3 +115,24 @@ def test_routing_and_plan(spark):
     df = spark.createDataFrame([("a",)], "text string")
     plan = detectors.detect(df, packages=["africa", "core", "digital_id", "money", "names", "locations", "contact"])._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_matches_are_searched_once_a_text(spark):
+    """One match, several, none, at either end, after characters beyond the 16-bit plane; pieces are made for texts with a match only."""
+    texts = ["12", "ab", "", None, "\U0001f600 12 x", "12\U0001f600 345 6", "a1b22c" * 150, "1\n2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    sql = spans.matches("coalesce(text, '')", "[0-9]+")
+    got = [[(m.start, m.end, m.m) for m in r.s] for r in df.select("id", F.expr(sql).alias("s")).orderBy("id").collect()]
+    assert got == [[(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", t or "")] for t in texts]
+    assert sql.index("split(") > sql.index("size(")
+
+
+def test_identifier_formats_run_on_all_cores(spark, tmp_path):
+    """A small file is dealt over the cores; of a text's formats only those found make arrays."""
+    from veldspar.plans import registry
+
+    spark.range(1, 41).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = registry.queries()["identifier_formats"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= 5 * spark.sparkContext.defaultParallelism
+    assert found.groupBy("k").count().where("count = 30").count() == 40
+    assert detectors.identifier_sql("text").count(" then transform(") >= len(identifiers.ORDER["africa"].split())

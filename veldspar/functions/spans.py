@@ -33,10 +33,11 @@ def matches(t: str, pattern: str, when: str = "true") -> str:
     # Appending copies the array, so matches are gathered in chunks: n matches cost n * CHUNK + (n / CHUNK) ** 2, not n ** 2.
     chunk = f"""aggregate(slice(z, k * {CHUNK} + 1, {CHUNK}), named_struct('at', a.at, 's', {none}), (b, e) ->
         named_struct('at', b.at + e.n + char_length(e.m), 's', concat(b.s, array(named_struct('start', b.at + e.n, 'end', b.at + e.n + char_length(e.m), 'm', e.m)))))"""
-    return f"""case when {when} then transform(array(named_struct('m', regexp_extract_all({t}, {q}, 0), 'p', split({t}, {q}, -1))), x ->
-        if(size(x.m) = 0, {none}, transform(array(zip_with(x.m, slice(x.p, 1, size(x.m)), (m, p) -> named_struct('m', m, 'n', char_length(p)))), z ->
+    # Pieces are only made where something matches: split compiles its pattern for every text.
+    return f"""case when {when} then transform(array(regexp_extract_all({t}, {q}, 0)), _ms ->
+        if(size(_ms) = 0, {none}, if(size(_ms) = 1, transform(array(char_length(split({t}, {q}, 2)[0])), n -> named_struct('start', n, 'end', n + char_length(_ms[0]), 'm', _ms[0])), transform(array(zip_with(_ms, slice(split({t}, {q}, -1), 1, size(_ms)), (m, p) -> named_struct('m', m, 'n', char_length(p)))), z ->
           flatten(aggregate(sequence(0, (size(z) - 1) div {CHUNK}), named_struct('at', 0, 's', cast(array() as array<array<{MATCH}>>)),
-            (a, k) -> transform(array({chunk}), c -> named_struct('at', c.at, 's', concat(a.s, array(c.s))))[0], a -> a.s)))[0]))[0] else {none} end"""
+            (a, k) -> transform(array({chunk}), c -> named_struct('at', c.at, 's', concat(a.s, array(c.s))))[0], a -> a.s)))[0])))[0] else {none} end"""
 
 
 def detections(spans: str, category: str, detector: str, confidence: str, identity: str = "inferred", country: str = "cast(null as string)", metadata: str = "map()") -> str:

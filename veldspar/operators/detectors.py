@@ -30,7 +30,7 @@ def identifier_sql(t: str, package: str = "africa") -> str:
 
     Only the package of all countries adds to the confidence when context words are near.
     """
-    parts = []
+    parts, none = [], f"cast(array() as array<{spans.DETECTION}>)"
     for key in identifiers.ORDER[package].split():
         f = identifiers.FORMATS[key]
         confidence = f.confidence + (identifiers.BONUS if f.valid else 0)
@@ -43,9 +43,11 @@ def identifier_sql(t: str, package: str = "africa") -> str:
         if f.valid and f.valid != "true":
             found = f"filter({found}, s -> transform(array(s.m), m -> {f.valid})[0])"
         identity = "foundational" if f.id_type in identifiers.FOUNDATIONAL else "functional"
-        parts.append(spans.detections(found, f"PII-2-{f.id_type}", f"rule:{f.country.lower()}_{f.id_type.lower()}", score, identity, f"'{f.country}'", f.facts))
-    found = spans.by_confidence(spans.first_wins(f"concat({', '.join(parts)})"))
-    return f"case when {t} rlike '{_IDENTIFIER}' then {found} else cast(array() as array<{spans.DETECTION}>) end"
+        rows = spans.detections(found, f"PII-2-{f.id_type}", f"rule:{f.country.lower()}_{f.id_type.lower()}", score, identity, f"'{f.country}'", f.facts)
+        # most texts have few of the formats; the others cost one search each, without arrays
+        parts.append(f"case when {t} rlike {spans.quoted(f.pattern)} then {rows} else {none} end")
+    found = spans.by_confidence(spans.first_wins(f"flatten(array({', '.join(parts)}))"))
+    return f"case when {t} rlike '{_IDENTIFIER}' then {found} else {none} end"
 
 
 # ---- phones --------------------------------------------------------------------------------------

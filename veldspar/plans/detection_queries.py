@@ -74,7 +74,7 @@ def _identifiers_sql() -> str:
 @query(_identifiers_sql())
 def identifier_formats(spark: SparkSession, d: str) -> DataFrame:
     """Every identifier format by its country's package or that of all countries."""
-    keys, out = _keys(spark, d, "customer", "c_custkey"), None
+    keys, out = spread(_keys(spark, d, "customer", "c_custkey")), None
     for package in ("ng", "ke", "za", "gh", "africa"):
         texts = ", ".join(f"concat('{'kenya ref ' if s.near else 'ref '}', {s.value}, ' end')" for s in SAMPLES if s.package == package)
         df = keys.select("k", F.explode(F.expr(f"array({texts})")).alias("text"))
