@@ -1,9 +1,12 @@
+import inspect
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, documents
-from veldspar.llm import rules
+from veldspar.functions.shared import texts_of
+from veldspar.llm import rules, simhash
 
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -126,3 +129,18 @@ def test_quantiles_match_brute_force(spark):
         at = lambda x: int(share[-(-len(share) * x // 100) - 1] * 2048) / 2048
         want = at(50) + 4 * max(at(75) - at(25), min(at(90) - at(50), 0.015), 0.01)
         assert abs(r.f[0] - want) < 1e-9
+
+
+def test_a_batch_is_not_python_objects_at_once():
+    """Texts are read in the rules' and the fingerprints' functions a few hundred rows at a time."""
+    import tracemalloc
+
+    texts = pa.array([f"{i} " * 2000 for i in range(4000)] + [None, ""])
+    assert list(texts_of(texts)) == texts.to_pylist() and list(texts_of(texts.slice(3990), 5)) == texts.slice(3990).to_pylist() and not list(texts_of(texts.slice(0, 0)))
+    tracemalloc.start()
+    assert sum(len(t or "") for t in texts_of(texts)) == sum(len(str(i)) + 1 for i in range(4000)) * 2000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < texts.nbytes / 3
+    for module in (rules, simhash):
+        assert "texts_of(" in inspect.getsource(module) and "to_pylist()" not in inspect.getsource(module)

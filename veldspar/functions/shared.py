@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def settled(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(F.randn(0) < 1e9, F.col(f"`{c}`")) for c in columns})
 
 
+def texts_of(column: pa.Array, rows: int = 500) -> Iterator[str | None]:
+    """The texts of a batch; a few hundred rows at a time are Python objects, the rest stays Arrow.
+
+    Workers are kept between stages and seldom give memory back, so one large batch would count until the session ends.
+    """
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

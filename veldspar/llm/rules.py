@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.functions.shared import broadcast_if_small, checkpointed, fresh, scratch
+from veldspar.functions.shared import broadcast_if_small, checkpointed, fresh, scratch, texts_of
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, n_lines long"
 _NAMES = [part.split()[0] for part in MEASURES.split(", ")]
@@ -115,7 +115,7 @@ def _measured(text: str | Column) -> Column:
 
     @F.arrow_udf(f"struct<{', '.join(p.replace(' ', ': ') for p in MEASURES.split(', '))}>")
     def measure(texts: pa.Array) -> pa.Array:
-        rows = np.array([count_text(t) for t in texts.to_pylist()], np.int64).reshape(-1, len(_NAMES))
+        rows = np.array([count_text(t) for t in texts_of(texts)], np.int64).reshape(-1, len(_NAMES))
         return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(_NAMES))], fields=list(fields))
 
     # Held to be nondeterministic, else the optimizer copies the call into every filter above it.

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.shared import checkpointed, fresh
+from veldspar.functions.shared import checkpointed, fresh, texts_of
 from veldspar.operators.components import connected_components
 
 BITS = 64
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            found = np.array([fingerprint(t, width, seed) for t in texts_of(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
