@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -32,6 +33,64 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(net.score(around, ids)).sum() - 1) < 1e-4
 
 
+def plain_forward(net, around, ids):
+    """The network with a row for each token."""
+    v, d, rows = net.view, masked.DIGIT, np.arange(len(ids))
+    x = v["e"][around].reshape(len(ids), -1)
+    z = np.tanh(x @ v["w"] + v["b"])
+    out = z @ v["o"] + v["c"]
+    out[:, d:] += v["d"][ids // d]
+    pair = out.reshape(-1, 2, d)
+    pair -= pair.max(axis=2, keepdims=True)
+    chosen = pair[rows, 0, ids // d] + pair[rows, 1, ids % d]
+    np.exp(pair, out=pair)
+    total = pair.sum(axis=2)
+    return x, z, pair, total, chosen - np.log(total).sum(axis=1)
+
+
+def plain_learn(net, around, ids):
+    n, rows, v, d = len(ids), np.arange(len(ids)), net.view, masked.DIGIT
+    x, z, pair, total, _ = plain_forward(net, around, ids)
+    pair /= total[:, :, None]
+    pair[rows, 0, ids // d] -= 1
+    pair[rows, 1, ids % d] -= 1
+    g = (pair / n).reshape(n, -1)
+    gz = (g @ v["o"].T) * (1 - z * z)
+    at = (around.astype(int)[:, :, None] * masked.WIDTH + np.arange(masked.WIDTH)).ravel()
+    seconds = ((ids // d).astype(int)[:, None] * d + np.arange(d)).ravel()
+    grad = np.concatenate([
+        np.bincount(at, (gz @ v["w"].T).ravel(), d * d * masked.WIDTH), (x.T @ gz).ravel(), gz.sum(axis=0), (z.T @ g).ravel(), g.sum(axis=0),
+        np.bincount(seconds, g[:, d:].ravel(), d * d),
+    ]).astype(np.float32)
+    net.sums += grad * grad
+    net.flat -= masked.RATE * grad / np.sqrt(net.sums)
+
+
+def test_steps_equal_rows_of_tokens_and_cost_less():
+    """Same parameters and scores as the plain network; four fifths of its time at most (measured: 0.6 and 0.4 of it)."""
+    rng = np.random.default_rng(3)
+    batch = lambda n: (np.minimum(rng.zipf(1.3, (n, 4)), 1023).astype(np.int32), np.minimum(rng.zipf(1.3, n), 1023).astype(np.int32))
+    net, plain = masked.Network(), masked.Network()
+    for n in [masked.BATCH] * 60 + [1, 7]:
+        around, ids = batch(n)
+        net.learn(around, ids)
+        plain_learn(plain, around, ids)
+        assert np.allclose(net.score(around, ids), plain_forward(plain, around, ids)[4], atol=1e-4)
+    assert np.abs(net.flat - plain.flat).max() < 1e-4
+    around, ids = batch(masked.BATCH)
+
+    def least(step, *args):
+        took = []
+        for _ in range(200):
+            began = time.perf_counter()
+            step(*args)
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert least(net.learn, around, ids) < 0.8 * least(plain_learn, plain, around, ids)
+    assert least(net.score, around, ids) < 0.8 * least(plain_forward, plain, around, ids)
+
+
 def test_windows_stop_at_document_ends():
     ids, around = masked.windows([np.array([5, 6, 7], np.int32), np.zeros(0, np.int32), np.array([8], np.int32)])
     assert ids.tolist() == [5, 6, 7, 8]

@@ -99,40 +99,43 @@ class Network:
             at += size
 
     def _forward(self, around: np.ndarray, hi: np.ndarray, lo: np.ndarray):
-        v, rows = self.view, np.arange(len(hi))
-        x = v["e"][around].reshape(len(hi), -1)
-        z = np.tanh(x @ v["w"] + v["b"])
-        out = z @ v["o"] + v["c"]
-        out[:, DIGIT:] += v["d"][hi]
-        pair = out.reshape(-1, 2, DIGIT)
-        pair -= pair.max(axis=2, keepdims=True)
-        chosen = pair[rows, 0, hi] + pair[rows, 1, lo]
+        """Classes and hidden units are rows and tokens columns: maxima and sums over classes are then sums of rows."""
+        v, each = self.view, np.arange(len(hi))
+        x = v["e"].take(around.ravel(), axis=0).reshape(len(hi), 2 * SIDE * WIDTH)
+        z = v["w"].T @ x.T
+        z += v["b"][:, None]
+        np.tanh(z, out=z)
+        out = v["o"].T @ z
+        out += v["c"][:, None]
+        out[DIGIT:] += v["d"].take(hi, axis=0).T
+        pair = out.reshape(2, DIGIT, -1)
+        pair -= pair.max(axis=1, keepdims=True)
+        chosen = pair[0, hi, each] + pair[1, lo, each]
         np.exp(pair, out=pair)
-        total = pair.sum(axis=2)
-        return x, z, pair, total, chosen - np.log(total).sum(axis=1)
+        total = pair.sum(axis=1)
+        return x, z, pair, total, chosen - np.log(total).sum(axis=0)
 
     def score(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln P of each id given the ids around it."""
         return self._forward(around, ids // DIGIT, ids % DIGIT)[4]
 
     def learn(self, around: np.ndarray, ids: np.ndarray) -> None:
-        n, rows, v = len(ids), np.arange(len(ids)), self.view
+        n, each, v = len(ids), np.arange(len(ids)), self.view
         hi, lo = ids // DIGIT, ids % DIGIT
         x, z, pair, total, _ = self._forward(around, hi, lo)
-        pair /= total[:, :, None]
-        pair[rows, 0, hi] -= 1
-        pair[rows, 1, lo] -= 1
-        pair /= n
-        g = pair.reshape(n, -1)
-        gz = (g @ v["o"].T) * (1 - z * z)
-        gx = (gz @ v["w"].T).reshape(-1)
-        at = (around.astype(np.int64)[:, :, None] * WIDTH + np.arange(WIDTH)).reshape(-1)
-        seconds = (hi.astype(np.int64)[:, None] * DIGIT + np.arange(DIGIT)).reshape(-1)
-        grads = [
-            np.bincount(at, gx, DIGIT * DIGIT * WIDTH), (x.T @ gz).ravel(), gz.sum(axis=0), (z.T @ g).ravel(), g.sum(axis=0),
-            np.bincount(seconds, g[:, DIGIT:].ravel(), DIGIT * DIGIT),
-        ]
-        grad = np.concatenate(grads).astype(np.float32)
+        pair /= (total * n)[:, None]
+        pair[0, hi, each] -= 1 / n
+        pair[1, lo, each] -= 1 / n
+        g = pair.reshape(2 * DIGIT, n)
+        gz = (v["o"] @ g) * (1 - z * z)
+        gx = (v["w"] @ gz).reshape(2 * SIDE, WIDTH, n)
+        at = around.T.ravel().astype(np.intp)
+        ge = np.empty((DIGIT * DIGIT, WIDTH))
+        for k in range(WIDTH):
+            ge[:, k] = np.bincount(at, gx[:, k].ravel(), DIGIT * DIGIT)
+        firsts, ones = np.eye(DIGIT, dtype=np.float32).take(hi, axis=0), np.ones(n, np.float32)
+        grads = [ge.ravel(), (x.T @ gz.T).ravel(), gz @ ones, (z @ g.T).ravel(), g @ ones, (g[DIGIT:] @ firsts).T.ravel()]
+        grad = np.concatenate(grads, dtype=np.float32, casting="same_kind")
         self.sums += grad * grad
         self.flat -= RATE * grad / np.sqrt(self.sums)
 
