@@ -249,7 +249,7 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
             order = np.random.default_rng(tokens).permutation(len(ids))
             for at in range(0, len(ids), BATCH):
                 some = order[at : at + BATCH]
-                net.learn(around[some], ids[some])
+                net.learn(around.take(some, axis=0), ids.take(some))
             tokens += len(ids)
         if tokens:
             parts = np.array_split(net.flat.astype("<f4"), SLICES)
@@ -284,7 +284,7 @@ def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
             sums, sizes, rare = [], [], []
             for held in _held(map(split, (t.as_py() for t in batch.column(1))), known.of):
                 for words, places in held:
-                    rare.append([words[i] for i in np.flatnonzero(places >= known.rare)])
+                    rare.append([words[i] for i in np.flatnonzero(places >= known.rare).tolist()])
                 lengths = [len(places) for _, places in held]
                 ids, around = windows([known.ids[places] for _, places in held])
                 found = np.concatenate([trained.score(around[a : a + BATCH], ids[a : a + BATCH]) for a in range(0, len(ids), BATCH)] or [np.zeros(0)])
