@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, documents
@@ -97,6 +98,21 @@ def test_windows_stop_at_document_ends():
     assert around.tolist() == [[0, 0, 6, 7], [0, 5, 7, 0], [5, 6, 0, 0], [0, 0, 0, 0]]
 
 
+def test_texts_are_cut_like_split_a_few_at_a_time(monkeypatch):
+    """Each task asks its tables for a word once, whatever the texts' white space and however many are cut at a time."""
+    texts = [None, "", " ", " The cat\tTHE\n\x0b\x0c\rcat ", "\u00c9T\u00c9 \u0130x\u3000y\x85z\xa0 a\x1cb\x00c \U0001f600", "x", None, "the " * 50, "\n\nend"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["skipped", *texts], kind).slice(1)
+        for size in (1, 30, 1 << 24):
+            monkeypatch.setattr(masked, "CUT", size)
+            asked = []
+            ids_of = lambda words: asked.append(words) or np.arange(len(words), dtype=np.int32)
+            got = [([kinds[i] for i in places], [kinds[i] for i in ids]) for kinds, places, ids in masked._documents(column, ids_of)]
+            assert got == [(masked.split(t), masked.split(t)) for t in texts]
+            assert all(len(set(words)) == len(words) for words in asked)
+    assert len(asked) == 1 and list(masked._documents(column.slice(0, 0), ids_of)) == []
+
+
 def phrases(rng, n):
     return " ".join(rng.choice(["the cat sat on a mat", "my dog ran to the park", "she reads one book a day"]) for _ in range(n))
 

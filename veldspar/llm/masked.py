@@ -16,7 +16,7 @@ with counts; each task's parameters, cut into ``SLICES`` rows that are averaged
 by one; and the rare words of each document, which are joined to their counts. The counts grow with the
 corpus and stay distributed; the driver and each task hold ``WORDS`` words, the counts of at most
 ``COMMON`` further ones, which spares their tokens the join and keeps hot keys out of it, and one set of
-parameters. A task also holds a batch of documents and its word counts (flushed at ``COUNTED`` words).
+parameters. A task also holds a batch of documents and the words of ``CUT`` bytes of them.
 
 Defined results: a null or empty text has no tokens and scores 0 (mean null); words are runs of bytes
 that are not ASCII white space, in lower-case ASCII; repeated rows give repeated output rows; a null
@@ -27,11 +27,11 @@ network). Replicas follow the input's partitions, so scores depend on them in th
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +51,8 @@ COMMON = 200_000
 BANDS = 8
 #: Tokens that are held as arrays at a time.
 HELD = 1 << 18
+#: Bytes of text that are cut into words at a time.
+CUT = 1 << 22
 
 
 def split(text: str | None) -> list[bytes]:
@@ -153,16 +155,44 @@ def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[where], np.stack([line[where + o] for o in near], axis=1) if len(where) else np.zeros((0, 2 * SIDE), np.int32)
 
 
-def _held(texts: Iterator[list[bytes]], ids_of: Callable[[list[bytes]], np.ndarray], most: int = HELD) -> Iterator[list[tuple[list[bytes], np.ndarray]]]:
-    """Words and ids of documents, some ``most`` tokens at a time; a longer document comes alone."""
+def _cut(column: pa.Array) -> Iterator[tuple[pa.DictionaryArray, np.ndarray]]:
+    """The words of some texts, some ``CUT`` bytes at a time, and how many each text has; the same words as ``split``'s.
+
+    A dictionary has each word of these texts once, so that tables of words are asked once for each.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, CUT + (ends[at - 1] if at else 0), "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(at, to - at), "")))
+        words, bounds = lists.flatten(), lists.offsets.to_numpy()
+        filled = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty word there
+        before = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))
+        if before[-1] < len(words):
+            words = words.filter(filled)
+        yield words.dictionary_encode(), np.diff(before[bounds - bounds[0]])
+        at = to
+
+
+def _documents(column: pa.Array, ids_of: Callable[[list[bytes]], np.ndarray]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """For each text the different words around, the places of its own among them, and its ids."""
+    for words, sizes in _cut(column):
+        kinds, places = words.dictionary.cast(pa.large_binary()).to_pylist(), words.indices.to_numpy()
+        ids, at = ids_of(kinds).take(places), 0
+        for to in np.cumsum(sizes).tolist():
+            yield kinds, places[at:to], ids[at:to]
+            at = to
+
+
+def _held(texts: Iterator[tuple[list[bytes], np.ndarray, np.ndarray]], most: int = HELD) -> Iterator[list[tuple[list[bytes], np.ndarray, np.ndarray]]]:
+    """Documents, some ``most`` tokens at a time; a longer document comes alone."""
     now, size = [], 0
-    for words in texts:
-        ids = ids_of(words)
-        if now and size + len(ids) > most:
+    for text in texts:
+        if now and size + len(text[2]) > most:
             yield now
             now, size = [], 0
-        now.append((words, ids))
-        size += len(ids)
+        now.append(text)
+        size += len(text[2])
     if now:
         yield now
 
@@ -172,22 +202,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def counts(docs: DataFrame, most: int = COUNTED) -> DataFrame:
-    """word (binary) and n over the whole corpus."""
+    """word (binary) and n over the whole corpus; tasks send on ``most`` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-            return out
-
         for batch in batches:
-            for text in batch.column(1):
-                found.update(split(text.as_py()))
-                if len(found) > most:
-                    yield flush()
-        yield flush()
+            for words, _ in _cut(batch.column(1)):
+                found = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                whole = pa.RecordBatch.from_arrays([words.dictionary.cast(pa.binary()), pa.array(found, pa.int64())], names=["word", "n"])
+                yield from (whole.slice(at, most) for at in range(0, len(whole), most))
 
     return _texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -244,8 +266,8 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net, tokens = Vocabulary(listed), Network(), 0
-        for held in _held((split(t.as_py()) for b in batches for t in b.column(1)), known.ids):
-            ids, around = windows([ids for _, ids in held])
+        for held in _held(text for b in batches for text in _documents(b.column(1), known.ids)):
+            ids, around = windows([ids for *_, ids in held])
             order = np.random.default_rng(tokens).permutation(len(ids))
             for at in range(0, len(ids), BATCH):
                 some = order[at : at + BATCH]
@@ -282,13 +304,13 @@ def score(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
         known, trained = Places(listed, common, totals), Network(flat)
         for batch in batches:
             sums, sizes, rare = [], [], []
-            for held in _held(map(split, (t.as_py() for t in batch.column(1))), known.of):
-                for words, places in held:
-                    rare.append([words[i] for i in np.flatnonzero(places >= known.rare).tolist()])
-                lengths = [len(places) for _, places in held]
-                ids, around = windows([known.ids[places] for _, places in held])
+            for held in _held(_documents(batch.column(1), known.of)):
+                for kinds, words, places in held:
+                    rare.append([kinds[i] for i in words[places >= known.rare].tolist()])
+                lengths = [len(places) for *_, places in held]
+                ids, around = windows([known.ids[places] for *_, places in held])
                 found = np.concatenate([trained.score(around[a : a + BATCH], ids[a : a + BATCH]) for a in range(0, len(ids), BATCH)] or [np.zeros(0)])
-                found = found + known.shares[np.concatenate([places for _, places in held])]
+                found = found + known.shares[np.concatenate([places for *_, places in held])]
                 ends = np.cumsum(lengths)
                 running = np.concatenate(([0.0], np.cumsum(found, dtype=float)))
                 sums += (running[ends] - running[ends - lengths]).tolist()
