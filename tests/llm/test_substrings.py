@@ -81,6 +81,19 @@ def test_anchors_depend_on_the_string_alone():
     assert (np.repeat(anchor, count) == ss._anchors_at(text, starts, 50)).all()
 
 
+def test_stretches_that_share_less_than_a_wide_anchor_do_not_meet():
+    """What two documents share by chance, a few words, brings none of their records together."""
+    rng = np.random.default_rng(3)
+    texts, ends = rng.integers(97, 123, (2, 300, 90)).astype(np.uint8), np.cumsum(np.full(300, 90))
+    texts[1, :, 30:54] = texts[0, :, 40:64]
+    here, there = (ss.records(t.ravel(), ends, *ss.runs(t.ravel(), ends))[0] for t in texts)
+    assert not len(np.intersect1d(here, there))
+    texts[1, :, 20:70] = texts[0, :, 31:81]
+    there, doc, first, count = ss.records(texts[1].ravel(), ends, *ss.runs(texts[1].ravel(), ends))
+    holds = (first <= doc * 90 + 20) & (doc * 90 + 20 < first + count)
+    assert holds.sum() == 300 and np.isin(there[holds], here).all()
+
+
 def test_block_ids_fall_into_their_bucket(spark):
     for buckets in (1, 7):
         for task in (0, 5, 300):
