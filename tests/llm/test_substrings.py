@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -94,6 +95,28 @@ def test_stretches_that_share_less_than_a_wide_anchor_do_not_meet():
     assert holds.sum() == 300 and np.isin(there[holds], here).all()
 
 
+def test_a_block_deals_its_anchors_to_thousands_of_shards_in_one_pass():
+    """Shards grow with the corpus; a pass over the anchors for each would make the time grow with its square."""
+    rng = np.random.default_rng(5)
+    text, pack = rng.integers(97, 123, 2_000_000).astype(np.uint8), ss.zstandard.ZstdCompressor().compress
+    runs = ss.runs(text, np.array([len(text)]))
+    row = {"block": 1, "doc_ids": [7], "sizes": [len(text)], "blob": pack(text.tobytes()), "counts": pack(runs[0].tobytes()), "offsets": pack(runs[1].tobytes())}
+    block = ss.Block(row)
+
+    def seconds(shards):
+        of = (block.anchors % np.uint64(shards)).astype(np.int64)
+        bits = {n: b"\xff" * (c // 8 + 1) for n, c in enumerate(np.bincount(of).tolist()) if n % 2}
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            shared = block.shared(bits, shards)
+            took.append(time.process_time() - began)
+        assert (shared == (of % 2 == 1)[block.which]).all()
+        return min(took)
+
+    assert seconds(4000) < 6 * seconds(40) + 0.03
+
+
 def test_block_ids_fall_into_their_bucket(spark):
     for buckets in (1, 7):
         for task in (0, 5, 300):

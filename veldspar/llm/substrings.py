@@ -62,6 +62,8 @@ _PLACE = 17
 SORTED = 8 << 20
 #: Stretches that are laid out at a time.
 PART = 1 << 16
+#: Rows of a shard that become Python objects at a time.
+ROWS = 32
 _LAST = (1 << 63) - 1
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -233,14 +235,24 @@ class Block:
         self.anchors, self.which = np.unique(self.anchor, return_inverse=True)
 
     def shard(self, shards: int) -> np.ndarray:
-        return (self.anchors % np.uint64(shards)).astype(np.int64)
+        return (self.anchors % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+
+    def dealt(self, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The anchors' places by shard, and (shard, begin, end) of each one's part; all shards in one sort, as they grow with the corpus."""
+        of = self.shard(shards)
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        return order, list(zip(of[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(of)]))
 
     def shared(self, bits: dict[int, bytes], shards: int) -> np.ndarray:
         """For each record whether another document has its anchor."""
-        mark, of = np.zeros(len(self.anchors), bool), self.shard(shards)
-        for shard, packed in bits.items():
-            at = np.flatnonzero(of == shard)
-            mark[at] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(at)).astype(bool)
+        order, parts = self.dealt(shards)
+        found, mark = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        for shard, lo, hi in parts:
+            if (packed := bits.get(shard)) is not None:
+                found[lo:hi] = np.unpackbits(np.frombuffer(packed, np.uint8), count=hi - lo)
+        mark[order] = found
         return mark[self.which]
 
     def stretches(self, shared: np.ndarray, shards: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
@@ -279,15 +291,12 @@ def _replies(row: dict) -> dict[int, bytes]:
 def _send_anchors(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in _blocks(batches):
-            of = block.shard(shards)
+            order, parts = block.dealt(shards)
             # an anchor of two documents of this block needs no other block
             pairs = np.unique(block.which.astype(np.int64) * (len(block.ids) + 1) + block.doc) if len(block.which) else block.which
-            several = np.bincount(pairs // (len(block.ids) + 1), minlength=len(block.anchors)) > 1
-            rows = []
-            for shard in np.unique(of).tolist():
-                at = of == shard
-                packed = np.ascontiguousarray(block.anchors[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                rows.append((shard, block.block, packed.tobytes(), np.packbits(several[at]).tobytes()))
+            several = (np.bincount(pairs // (len(block.ids) + 1), minlength=len(block.anchors)) > 1)[order]
+            packed = np.ascontiguousarray(block.anchors[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            rows = [(shard, block.block, packed[lo:hi].tobytes(), np.packbits(several[lo:hi]).tobytes()) for shard, lo, hi in parts]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "block", "anchors", "several"])
 
@@ -298,31 +307,28 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each shard; they come sorted by shard."""
     now: list[dict] = []
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            if now and now[0]["shard"] != row["shard"]:
-                yield now
-                now = []
-            now.append(row)
+        for i in range(0, batch.num_rows, ROWS):
+            for row in batch.slice(i, ROWS).to_pylist():
+                if now and now[0]["shard"] != row["shard"]:
+                    yield now
+                    now = []
+                now.append(row)
     if now:
         yield now
 
 
 def _meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _shards(batches):
-        each = []
-        for row in rows:
-            raw = np.frombuffer(row["anchors"], np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :6] = raw
-            each.append(wide.view("<u8").ravel())
-        whole = np.concatenate(each)
-        _, which, counts = np.unique(whole, return_inverse=True, return_counts=True)
+        raw = np.frombuffer(b"".join(row["anchors"] for row in rows), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :6] = raw
+        _, which, counts = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
         shared, at, out = counts[which] > 1, 0, []
-        for row, own in zip(rows, each):
-            several = np.unpackbits(np.frombuffer(row["several"], np.uint8), count=len(own)).astype(bool)
-            bits = shared[at : at + len(own)] | several
-            at += len(own)
+        for row in rows:
+            own = len(row["anchors"]) // 6
+            several = np.unpackbits(np.frombuffer(row["several"], np.uint8), count=own).astype(bool)
+            bits = shared[at : at + own] | several
+            at += own
             if bits.any():
                 out.append((row["block"], row["shard"], np.packbits(bits).tobytes()))
         if out:
